@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, pii
 
-QUERIES = {"op2_exact_dedup": exact_dedup.op2, "op8_mix_sources": mixing.op8}
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_mix_sources": mixing.OP8_SQL}
+QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2,
+    "op6_line_dedup": line_dedup.op6,
+    "op8_mix_sources": mixing.op8,
+    "op9_pii": pii.op9,
+}
+ORACLE_SQL = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
+    "op8_mix_sources": mixing.OP8_SQL,
+}

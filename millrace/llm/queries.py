@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, pii
+from . import exact_dedup, language, line_dedup, mixing, packing, pii
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2,
+    "op4_language": language.op4,
     "op5_pack": packing.op5,
     "op6_line_dedup": line_dedup.op6,
     "op8_mix_sources": mixing.op8,

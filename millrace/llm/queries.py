@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, line_dedup, mixing, packing, pii
+from . import exact_dedup, language, line_dedup, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1,
     "op2_exact_dedup": exact_dedup.op2,
+    "op3_toxicity": toxicity.op3,
     "op4_language": language.op4,
     "op5_pack": packing.op5,
     "op6_line_dedup": line_dedup.op6,

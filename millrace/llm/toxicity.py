@@ -22,7 +22,7 @@ ORDERS, BITS = (3, 4, 5), 19
 #: The classifier's bound: labelled rows it is fitted on, about, half of each class.
 SAMPLE = 8_000
 #: Features in as many sampled texts at least, and so many of them, those that tell the classes apart best.
-LEAST_TEXTS, FEATURES = 3, 20_000
+LEAST_TEXTS, FEATURES = 8, 3_000
 #: Texts at a time.
 BATCH = 200
 CUT = 0.5
@@ -77,7 +77,7 @@ def log_count_ratios(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ratio, (worth > 0) & (worth >= cut)
 
 
-def regress(owner: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, columns: int, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+def regress(owner: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, columns: int, l2: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse rows by full-batch Adam: weights and intercept."""
     w, b = np.ones(columns) * 0.01, 0.0
     m, v = np.zeros(columns + 1), np.zeros(columns + 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, line_dedup, mixing, packing, pii, quality, toxicity
+from . import exact_dedup, jaccard, language, line_dedup, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language": language.op4,
     "op5_pack": packing.op5,
     "op6_line_dedup": line_dedup.op6,
+    "op7_jaccard_join": jaccard.op7,
     "op8_mix_sources": mixing.op8,
     "op9_pii": pii.op9,
 }

@@ -22,6 +22,8 @@ TRAIN_CHARS, TRAIN_TEXT_CHARS = 40_000, 4_000
 SEGMENT = 2_048
 #: Segments that are parsed side by side.
 LANES = 16_384
+#: Texts at a time.
+BATCH = 2_000
 UNDEFINED = "und"
 
 
@@ -148,22 +150,30 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return CrossParser({lang: " ".join(parts)[:train_chars] for lang, parts in texts.items()})
 
 
-def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows as id, lang_pred, score; the parser goes to each executor once, a bounded model."""
+def judged(docs: DataFrame, parser: CrossParser, text_col: str = "text") -> DataFrame:
+    """docs with a further column judged (lang_pred, score); the parser goes to each executor once, a bounded model."""
     model = docs.sparkSession.sparkContext.broadcast(parser)
-    kind = docs.schema[id_col].dataType
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 2_000):
-                part = batch.iloc[at:at + 2_000]
-                lang, score = model.value.judge(part["text"].tolist())
-                yield pd.DataFrame({"id": part["id"], "lang_pred": lang, "score": score})
-
-    rows = own_columns(docs, id=id_col, text=text_col)
-    text_id = F.coalesce(F.col("id").cast("string"), F.lit("\x00")).alias("id")  # ids cross to pandas as text: nulls and long numbers stay exact
-    made = rows.select(text_id, F.coalesce("text", F.lit("")).alias("text")).mapInPandas(predict, "id string, lang_pred string, score double")
-    return made.withColumn("id", F.nullif("id", F.lit("\x00")).cast(kind))
+
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            parts = [model.value.judge(texts.iloc[at:at + BATCH].tolist()) for at in range(0, len(texts), BATCH)]
+            yield pd.DataFrame({"lang_pred": [x for lang, _ in parts for x in lang], "score": [x for _, score in parts for x in score]})
+
+    return docs.withColumn("judged", judge(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+
+
+def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs' rows as id, lang_pred, score."""
+    return judged(own_columns(docs, id=id_col, text=text_col), parser).select("id", "judged.lang_pred", "judged.score")
+
+
+def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows that are in no language: null texts and those without a letter."""
+    with_index = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = f"c{docs.columns.index(text_col)}"
+    kept = judged(with_index, learn(docs, id_col, text_col, lang_col), at).where(F.col("judged.lang_pred") != UNDEFINED)
+    return kept.drop("judged").toDF(*docs.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

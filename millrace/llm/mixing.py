@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, own_columns, running_total, table, uniform_key
+from .common import SPACE, WORD, own_columns, running_total, table, uniform_key
 
 #: Fixed value: the sources' weights in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -70,15 +70,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that mix takes, as often as it takes them, with the last copy cut after the last word that is taken.
 
-    A document of no words is in no budget; it is left out, as it has nothing to give. Ids are taken as unique.
+    A document of no words is in no budget; it is left out, as it has nothing to give. Ids are taken as unique: rows that
+    repeat one are taken alike. Columns of docs whose names begin with _mix are not expected.
     """
-    chosen = mix(docs, **options).where("taken > 0").select(F.col("id").alias("_id"), "size", "taken")
-    columns, id_col, text_col = docs.columns, options.get("id_col", "doc_id"), options.get("text_col", "text")
-    out = docs.join(chosen, docs[id_col] == chosen["_id"])
-    out = out.withColumn("_words", F.explode(F.expr(
-        "transform(sequence(1, cast(ceil(taken / size) as int)), i -> least(size, taken - (i - 1) * size))")))
-    cut = F.regexp_extract(text_col, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("_words"), F.lit("}")), 0)
-    return out.withColumn(text_col, F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col(text_col))).select(*columns)
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    chosen = mix(docs, **options).where("taken > 0").select(F.col("id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    out = docs.join(chosen.dropDuplicates(["_mix_id"]), docs[id_col] == F.col("_mix_id"))
+    words = F.transform(F.sequence(F.lit(1), F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("int")), lambda i: F.least("_mix_size", F.col("_mix_taken") - (i - 1) * F.col("_mix_size")))
+    out = out.withColumn("_mix_words", F.explode(words))
+    # a word with the white space before it, so many times: what is kept stays as it was
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(rf"{SPACE}*+{WORD}"), F.lit(0)), F.lit(1), F.col("_mix_words").cast("int")), "")
+    return out.withColumn(text_col, F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

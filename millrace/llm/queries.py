@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard, language, line_dedup, mixing, packing, pii, quality, toxicity
+from . import embedding_dedup, exact_dedup, jaccard, language, line_dedup, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_jaccard_join": jaccard.op7,
     "op8_mix_sources": mixing.op8,
     "op9_pii": pii.op9,
+    "op10_embedding_dedup": embedding_dedup.op10,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,

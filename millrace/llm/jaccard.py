@@ -8,6 +8,7 @@ never the smallest of a component unless it has no other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,6 +27,8 @@ PARTS, DIFFER = 2, 1
 UNIT = 300_000
 #: Buckets of the bounded filter that spares texts a shuffle.
 FILTER_BUCKETS = 1 << 20
+#: Bytes that a signature takes in shuffles, about: signatures are matched in so many slices that those of a slice take no more than the texts.
+SIGN_BYTES = 48
 #: Texts at a time.
 BATCH = 400
 
@@ -149,6 +152,10 @@ def linked(sets: list[np.ndarray], groups: list[int], percent: int, sides: np.nd
     return out
 
 
+def in_slice(k: int, slices: int):
+    return lambda sign: F.pmod(sign, F.lit(slices)) == k
+
+
 def _id_text(df: DataFrame):
     return F.coalesce(F.col("id").cast("string"), F.lit("\x00"))
 
@@ -177,18 +184,25 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 yield pd.DataFrame({
                     "id": part["id"], "same": part["same"], "n": [len(s) for s in sets],
                     "one": [_mixed(s, 3).sum(dtype=_U).astype(np.int64) for s in sets], "two": [_mixed(s, 5).sum(dtype=_U).astype(np.int64) for s in sets],
+                    "bytes": part["text"].str.len(),
                     "signs": signatures(sets, bands),
                 })
 
-    signed = source.mapInPandas(sign, "id string, same long, n int, one long, two long, signs array<long>")
+    signed = source.mapInPandas(sign, "id string, same long, n int, one long, two long, bytes long, signs array<long>")
     signed = table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")  # row is settled once written
     sets = ["n", "one", "two"]
     least = F.min(F.nullif("id", F.lit("\x00")).cast(kind))
     classes = table(signed.where("n > 0").groupBy(*sets).agg(F.min("row").alias("node"), least.alias("least")), "classes")
-    first = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    signs = first.select("row", F.explode("signs").alias("sign"))
-    shared = signs.groupBy("sign").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi")
-    edges = signs.join(shared, "sign").where("row <> lo").select(F.col("lo").alias("a"), F.col("row").alias("b")).distinct()
+    reps = classes.select(F.col("node").alias("row"))
+    total = signed.agg(F.sum(F.size("signs")), F.sum("bytes")).first()
+    slices = max(1, -(-SIGN_BYTES * (total[0] or 0) // max(1, total[1] or 1)))
+    found = []
+    for k in range(slices):
+        own = F.filter("signs", in_slice(k, slices)) if slices > 1 else F.col("signs")
+        signs = signed.select("row", own.alias("signs")).join(reps, "row", "left_semi").select("row", F.explode("signs").alias("sign"))
+        shared = signs.groupBy("sign").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi")
+        found.append(table(signs.join(shared, "sign").where("row <> lo").select(F.col("lo").alias("a"), F.col("row").alias("b")).distinct(), "edges"))
+    edges = reduce(DataFrame.union, found)
     clusters = components(edges).select(F.col("id").alias("node"), F.col("root").alias("cluster"))
     members = table(clusters.join(signed.select(F.col("row").alias("node"), "id", "same", *sets), "node"), "members")
 

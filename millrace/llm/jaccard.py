@@ -22,13 +22,16 @@ from .common import components, own_columns, table
 #: Fixed by the contract: words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 3, 90
 #: PartEnum's second level: parts that a first-level partition is split into, and how many of them may differ.
-PARTS, DIFFER = 2, 1
+PARTS, DIFFER = 3, 1
+#: Partitions to spare, as a share of those that the bound needs: so many of a set's emptiest ones give no signature.
+SPARE = 0.15
 #: Shingles that one task compares with as many others at a time.
 UNIT = 300_000
 #: Buckets of the bounded filter that spares texts a shuffle.
 FILTER_BUCKETS = 1 << 20
-#: Bytes that a signature takes in shuffles, about: signatures are matched in so many slices that those of a slice take no more than the texts.
-SIGN_BYTES = 48
+#: Signatures are kept in slices by their value and matched in rounds of some slices each: so many that a round's shuffles take
+#: about half as much as the texts at most, with so many bytes a signature.
+SLICES, SIGN_BYTES = 16, 48
 #: Texts at a time.
 BATCH = 400
 
@@ -80,13 +83,16 @@ class Bands:
         return (100 - self.percent) * 2 * self.largest[band] // (100 + self.percent)
 
 
-def signatures(sets: list[np.ndarray], bands: Bands, parts: int = PARTS, differ: int = DIFFER) -> list[np.ndarray]:
+def signatures(sets: list[np.ndarray], bands: Bands, parts: int = PARTS, differ: int = DIFFER, spare: float = SPARE) -> list[np.ndarray]:
     """PartEnum signatures of each set: if two sets of similar size differ in few enough elements, they share one.
 
-    For a bound k on the difference, the domain is hashed to ceil((k + 1) / (differ + 1)) partitions, so that in one of them at
-    most differ elements differ; that one's elements fall in parts subparts, so that some choice of parts - differ of them holds
-    none of these. Each such choice of each partition is a signature: the hash of the elements in it. Where k is 0 only
-    equal sets are similar, which need no signature.
+    For a bound k on the difference, the domain is hashed to k // (differ + 1) + 1 partitions and a share more, w of them, to spare: so
+    in at least w + 1 partitions at most differ elements differ. Each partition falls in parts subparts, and some choice of
+    parts - differ of these holds no element that differs. A choice is a signature: the hash of the elements in it.
+    Signatures of few elements, empty ones above all, say little; a set leaves out those below the size that all but
+    at most w of its partitions reach in each choice. Of two similar sets take the one with the higher such size: a partition in which they agree
+    to within differ elements is among those that reach it, so a common choice is large enough for both sets.
+    Where k is 0 only equal sets are similar, which need no signature.
     """
     made = [[] for _ in sets]
     choices = list(combinations(range(parts), parts - differ))
@@ -96,25 +102,31 @@ def signatures(sets: list[np.ndarray], bands: Bands, parts: int = PARTS, differ:
         some = np.flatnonzero(k > 0)
         if not len(some):
             continue
-        first = (k[some] + 1 + differ) // (differ + 1)
+        extra = np.ceil(spare * (k[some] // (differ + 1) + 1)).astype(np.int64)
+        first = k[some] // (differ + 1) + 1 + extra
         sizes = np.array([len(sets[i]) for i in some])
         flat = np.concatenate([sets[i] for i in some])
         base = np.cumsum(first) - first
-        at = (_mixed(flat, 11 + step) >> _U(20)) % np.repeat(first * parts, sizes).astype(_U)
+        at = np.repeat(base * parts, sizes) + ((_mixed(flat, 11) >> _U(20)) % np.repeat(first * parts, sizes).astype(_U)).astype(np.int64)
         prints = np.zeros(int(first.sum()) * parts, dtype=_U)
-        np.add.at(prints, np.repeat(base * parts, sizes) + at.astype(np.int64), _mixed(flat, 23))
+        np.add.at(prints, at, _mixed(flat, 23))
+        held = np.bincount(at, minlength=len(prints)).reshape(-1, parts)
         prints = prints.reshape(-1, parts)
-        number = (np.arange(len(prints)) - np.repeat(base, first)).astype(_U)
-        where = _mixed(np.repeat(band[some], first).astype(_U) << _U(32) | number, 37)
-        each = []
+        owner = np.repeat(np.arange(len(some)), first)
+        number = (np.arange(len(prints)) - base[owner]).astype(_U)
+        where = _mixed(band[some][owner].astype(_U) << _U(32) | number, 37)
+        least = np.sort(held, axis=1)[:, :parts - differ].sum(axis=1)  # what the smallest choice of each partition holds
+        enough = least[np.lexsort((least, owner))][base + extra][owner]
+        each, keep = [], []
         for c, chosen in enumerate(choices):
             total = where + _U(c * 0x2545F4914F6CDD1D & (1 << 64) - 1)
             for i in chosen:
                 total = _mixed(total + prints[:, i], 41 + i)
             each.append(total)
-        each = np.stack(each, axis=1)
+            keep.append(held[:, list(chosen)].sum(axis=1) >= enough)
+        each, keep = np.stack(each, axis=1), np.stack(keep, axis=1)
         for i, b, n in zip(some, base, first, strict=True):
-            made[i].append(each[b:b + n].ravel())
+            made[i].append(each[b:b + n][keep[b:b + n]])
     return [np.concatenate(m).view(np.int64) if m else np.zeros(0, np.int64) for m in made]
 
 
@@ -152,8 +164,11 @@ def linked(sets: list[np.ndarray], groups: list[int], percent: int, sides: np.nd
     return out
 
 
-def in_slice(k: int, slices: int):
-    return lambda sign: F.pmod(sign, F.lit(slices)) == k
+def in_slices(signs: np.ndarray) -> list[np.ndarray]:
+    """Signatures by their remainder modulo SLICES."""
+    place = signs.view(_U) % _U(SLICES)
+    order = np.argsort(place, kind="stable")
+    return np.split(signs[order], np.cumsum(np.bincount(place.astype(np.int64), minlength=SLICES))[:-1])
 
 
 def _id_text(df: DataFrame):
@@ -181,24 +196,25 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at:at + BATCH]
                 sets = shingle_sets(part["text"].tolist(), words)
+                signs = signatures(sets, bands)
                 yield pd.DataFrame({
                     "id": part["id"], "same": part["same"], "n": [len(s) for s in sets],
                     "one": [_mixed(s, 3).sum(dtype=_U).astype(np.int64) for s in sets], "two": [_mixed(s, 5).sum(dtype=_U).astype(np.int64) for s in sets],
                     "bytes": part["text"].str.len(),
-                    "signs": signatures(sets, bands),
+                    "many": [len(x) for x in signs], "signs": [in_slices(x) for x in signs],
                 })
 
-    signed = source.mapInPandas(sign, "id string, same long, n int, one long, two long, bytes long, signs array<long>")
+    signed = source.mapInPandas(sign, "id string, same long, n int, one long, two long, bytes long, many long, signs array<array<long>>")
     signed = table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")  # row is settled once written
     sets = ["n", "one", "two"]
     least = F.min(F.nullif("id", F.lit("\x00")).cast(kind))
     classes = table(signed.where("n > 0").groupBy(*sets).agg(F.min("row").alias("node"), least.alias("least")), "classes")
     reps = classes.select(F.col("node").alias("row"))
-    total = signed.agg(F.sum(F.size("signs")), F.sum("bytes")).first()
-    slices = max(1, -(-SIGN_BYTES * (total[0] or 0) // max(1, total[1] or 1)))
+    total = signed.agg(F.sum("many"), F.sum("bytes")).first()
+    rounds = min(SLICES, max(1, -(-2 * SIGN_BYTES * (total[0] or 0) // max(1, total[1] or 1))))
     found = []
-    for k in range(slices):
-        own = F.filter("signs", in_slice(k, slices)) if slices > 1 else F.col("signs")
+    for k in range(rounds):
+        own = F.flatten(F.array(*[F.get("signs", F.lit(i)) for i in range(k, SLICES, rounds)]))
         signs = signed.select("row", own.alias("signs")).join(reps, "row", "left_semi").select("row", F.explode("signs").alias("sign"))
         shared = signs.groupBy("sign").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi")
         found.append(table(signs.join(shared, "sign").where("row <> lo").select(F.col("lo").alias("a"), F.col("row").alias("b")).distinct(), "edges"))

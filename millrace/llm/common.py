@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Spark's setting by which an execution deletes its shuffle files at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's settings while a table is written: nothing else reads the write's shuffles, so their files go when it ends and not when
+#: the driver collects garbage; and whole texts cross to Python in batches of bounded size.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 _own_dir: list[str] = []
 
@@ -35,12 +36,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     executor costs no more than the tasks that read its part, and keeps narrow columns compressed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # nothing shares the shuffles of this write: their files go when it ends, not when the driver collects garbage
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

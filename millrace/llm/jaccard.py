@@ -25,8 +25,10 @@ WORDS, PERCENT = 3, 90
 PARTS, DIFFER = 3, 1
 #: Partitions to spare, as a share of those that the bound needs: so many of a set's emptiest ones give no signature.
 SPARE = 0.15
+#: A shingle is common if so many of a bounded sample of about so many texts have it.
+COMMON, SAMPLE = 3, 8_000
 #: Shingles that one task compares with as many others at a time.
-UNIT = 300_000
+UNIT = 200_000
 #: Buckets of the bounded filter that spares texts a shuffle.
 FILTER_BUCKETS = 1 << 20
 #: Signatures are kept in slices by their value and matched in rounds of some slices each: so many that a round's shuffles take
@@ -83,15 +85,23 @@ class Bands:
         return (100 - self.percent) * 2 * self.largest[band] // (100 + self.percent)
 
 
-def signatures(sets: list[np.ndarray], bands: Bands, parts: int = PARTS, differ: int = DIFFER, spare: float = SPARE) -> list[np.ndarray]:
+def _missing(x: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """1 where an element of x is not in common, which is sorted."""
+    if not len(common):
+        return np.ones(len(x))
+    return (common[np.minimum(np.searchsorted(common, x), len(common) - 1)] != x).astype(float)
+
+
+def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray | None = None, parts: int = PARTS, differ: int = DIFFER, spare: float = SPARE) -> list[np.ndarray]:
     """PartEnum signatures of each set: if two sets of similar size differ in few enough elements, they share one.
 
     For a bound k on the difference, the domain is hashed to k // (differ + 1) + 1 partitions and a share more, w of them, to spare: so
     in at least w + 1 partitions at most differ elements differ. Each partition falls in parts subparts, and some choice of
     parts - differ of these holds no element that differs. A choice is a signature: the hash of the elements in it.
-    Signatures of few elements, empty ones above all, say little; a set leaves out those below the size that all but
-    at most w of its partitions reach in each choice. Of two similar sets take the one with the higher such size: a partition in which they agree
-    to within differ elements is among those that reach it, so a common choice is large enough for both sets.
+    Signatures of few elements, empty ones above all, say little, and so do those of common elements, as in a passage that many
+    texts share. The worth of a signature is how many elements not in common (sorted) it holds; a set leaves out the signatures below the worth that all but
+    at most w of its partitions reach in each choice. Of two similar sets take the one with the higher such worth: a partition in which they agree
+    to within differ elements is among those that reach it, so a shared choice is worth enough for both sets. No similar pair is lost, whatever is common.
     Where k is 0 only equal sets are similar, which need no signature.
     """
     made = [[] for _ in sets]
@@ -110,7 +120,7 @@ def signatures(sets: list[np.ndarray], bands: Bands, parts: int = PARTS, differ:
         at = np.repeat(base * parts, sizes) + ((_mixed(flat, 11) >> _U(20)) % np.repeat(first * parts, sizes).astype(_U)).astype(np.int64)
         prints = np.zeros(int(first.sum()) * parts, dtype=_U)
         np.add.at(prints, at, _mixed(flat, 23))
-        held = np.bincount(at, minlength=len(prints)).reshape(-1, parts)
+        held = np.bincount(at, None if common is None else _missing(flat, common), minlength=len(prints)).reshape(-1, parts)
         prints = prints.reshape(-1, parts)
         owner = np.repeat(np.arange(len(some)), first)
         number = (np.arange(len(prints)) - base[owner]).astype(_U)
@@ -175,7 +185,21 @@ def _id_text(df: DataFrame):
     return F.coalesce(F.col("id").cast("string"), F.lit("\x00"))
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT) -> DataFrame:
+def common_shingles(source: DataFrame, words: int) -> np.ndarray:
+    """Shingles of COMMON or more of about SAMPLE different texts, sorted: what the index learns from a bounded sample. It decides what candidates cost, never which links are found."""
+    share = min(1.0, SAMPLE / max(1, source.count()))
+    some = source.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["same"])
+
+    def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), BATCH):
+                yield pd.DataFrame({"element": np.concatenate(shingle_sets(batch["text"].iloc[at:at + BATCH].tolist(), words)).view(np.int64)})
+
+    counted = some.select("text").mapInPandas(elements, "element long").groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(counted.select("element").toPandas()["element"].to_numpy(np.int64).view(_U))
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, parts: int = PARTS, differ: int = DIFFER, spare: float = SPARE) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs; component_id is the least id that links lead to.
 
     1. One pass over the texts makes each set's size, fingerprint and signatures; equal sets become one class.
@@ -190,13 +214,15 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     kind = rows.schema["id"].dataType
     source = rows.select(_id_text(rows).alias("id"), F.xxhash64("text").alias("same"), "text")
 
+    known = spark.sparkContext.broadcast(common_shingles(source, words))
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(percent)
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at:at + BATCH]
                 sets = shingle_sets(part["text"].tolist(), words)
-                signs = signatures(sets, bands)
+                signs = signatures(sets, bands, known.value, parts, differ, spare)
                 yield pd.DataFrame({
                     "id": part["id"], "same": part["same"], "n": [len(s) for s in sets],
                     "one": [_mixed(s, 3).sum(dtype=_U).astype(np.int64) for s in sets], "two": [_mixed(s, 5).sum(dtype=_U).astype(np.int64) for s in sets],

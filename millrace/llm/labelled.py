@@ -28,7 +28,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int
         chance = F.when(F.col("label") == F.lit(k), F.lit(s)).otherwise(chance)
     key = F.xxhash64(F.lit("sample"), "id")
     picked = known.withColumn("key", key).withColumn("chance", chance).where(F.pmod("key", F.lit(1 << 30)) < F.col("chance") * (1 << 30))
-    picked = picked.select("id", "key", F.col("label").cast("int").alias("label"), (1 / F.col("chance")).alias("weight"))
+    picked = picked.select("id", "key", F.col("label").cast("int").alias("label"), (1 / F.greatest("chance", F.lit(1e-9))).alias("weight"))
     texts = own_columns(docs, id=id_col, text=text_col)
     return texts.join(F.broadcast(picked), "id").select("key", F.coalesce("text", F.lit("")).alias("text"), "label", "weight")
 

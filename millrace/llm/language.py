@@ -71,13 +71,17 @@ class CrossParser:
         for i, c in enumerate(known):
             self.code[ord(c)] = 2 + i
         self.letters = 2 + len(known)
-        self.sizes, self.tables = [], []
+        self.sizes, self.tables, self.starts = [], [], []
         for language in self.languages:
             codes = self.encode(folded[language])
             step = suffix_automaton(codes.tolist(), self.letters)
-            first = np.where(step[0] >= 0, step[0], 0)
-            # next state times letters, doubled; the low bit marks that a phrase ended before this letter
-            table = np.where(step >= 0, step.astype(np.int64) * self.letters * 2, first.astype(np.int64) * self.letters * 2 + 1)
+            # a last state in which any letter begins a phrase: the start, and where a letter that is not learned has been a phrase
+            start = len(step)
+            first = np.where(step[0] >= 0, step[0], start).astype(np.int64) * self.letters * 2 + 1
+            # next state times letters, doubled; the low bit marks that this letter begins a phrase
+            table = np.where(step >= 0, step.astype(np.int64) * self.letters * 2, first)
+            table = np.concatenate([table, first[None, :]])
+            self.starts.append(start * self.letters * 2)
             self.tables.append(table.astype(np.int32).ravel())
             self.sizes.append(max(2, len(codes)))
 
@@ -112,8 +116,8 @@ class CrossParser:
             alive = np.searchsorted(-w, -np.arange(int(w[0])), side="left")  # lanes longer than each step
             grid = [flat[begin[:n] + i] for i, n in enumerate(alive)]
             for k, table in enumerate(self.tables):
-                state = np.zeros(len(part), dtype=np.int32)
-                ended = np.ones(len(part), dtype=np.int32)
+                state = np.full(len(part), self.starts[k], dtype=np.int32)
+                ended = np.zeros(len(part), dtype=np.int32)
                 for letter, n in zip(grid, alive, strict=True):
                     state[:n] = table.take((state[:n] >> 1) + letter)
                     ended[:n] += state[:n] & 1

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: the driver collects garbage; and whole texts cross to Python in batches of bounded size.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
+#: Rows of two numbers that one task writes with ease.
+FEW = 200_000
+
 _own_dir: list[str] = []
 
 
@@ -31,9 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, so that a lost
-    executor costs no more than the tasks that read its part, and keeps narrow columns compressed."""
+    executor costs no more than the tasks that read its part, and keeps narrow columns compressed.
+
+    With small, what many tasks have a few rows of each is rebalanced to files of the advisory size first.
+    """
+    df = df.hint("rebalance") if small else df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}/{name}"
     before = {k: spark.conf.get(k, None) for k in WRITING}
@@ -91,7 +97,7 @@ def running_total(df: DataFrame, group: list[str], key: str, order: list[str], v
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): root is the smallest id that the undirected edges (a, b), longs, lead to from id. Ids in no edge with another are not returned.
+    """(id, root): root is the smallest id that the undirected edges (a, b), longs, of a written table lead to from id. Ids in no edge with another are not returned.
 
     Alternating large-star and small-star steps: the number of edges does not grow, and about log(vertices) steps
     suffice. A hub's neighbours need not meet in one task: its minimum is a partial aggregate, and the edges get it by a join
@@ -102,18 +108,23 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum("lo"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
-    current = table(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "edges")
+    def step(df: DataFrame, rows: int) -> DataFrame:
+        """At most so many rows, written by a task for each FEW of them."""
+        return table(df.distinct().coalesce(1 + rows // FEW), "edges")
+
+    current = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo")
+    current = step(current, current.count())
     before = mark(current)
     while True:
         up, down = current.select(F.col("lo").alias("u"), F.col("hi").alias("v")), current.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         # large star: the neighbours above u go to the least of u and its neighbours
-        large = table(up.join(least, "u", "left").select(F.col("v").alias("hi"), F.coalesce("m", "u").alias("lo")).distinct(), "edges")
+        large = step(up.join(least, "u", "left").select(F.col("v").alias("hi"), F.coalesce("m", "u").alias("lo")), before[0])
         drop_table(spark, current)
         # small star: u and its neighbours below go to the least of these
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        current = table(moved.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        current = step(moved.union(low.select("hi", F.col("m").alias("lo"))), 2 * before[0])
         drop_table(spark, large)
         after = mark(current)
         if after == before:
@@ -122,10 +133,19 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
+def trim() -> None:
+    """Gives memory that Python and Arrow have freed back to the system; for the end of a task's work in a worker that lives on."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # a C library without it
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; the held-out split of the contracts. A null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -149,7 +149,7 @@ def near_groups(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
         out = pd.DataFrame({"a": node[some], "b": -1, "n": counts[some]})
         return pd.concat([out, pd.DataFrame([(node[a], node[b], 0) for a, b in forest], columns=["a", "b", "n"])]).astype("int64")
 
-    compared = table(units.groupBy(*lists, "unit", "other").applyInPandas(compare, "a long, b long, n long"), "compared")
+    compared = table(units.groupBy(*lists, "unit", "other").applyInPandas(compare, "a long, b long, n long"), "compared", small=True)
     counts = compared.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     roots = components(compared.where("b >= 0").select("a", "b")).select(F.col("id").alias("node"), "root")
     known = classes.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, own_columns, table
+from .common import components, own_columns, table, trim
 
 #: Fixed by the contract: words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 3, 90
@@ -229,12 +229,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     "bytes": part["text"].str.len(),
                     "many": [len(x) for x in signs], "signs": [in_slices(x) for x in signs],
                 })
+        trim()
 
     signed = source.mapInPandas(sign, "id string, same long, n int, one long, two long, bytes long, many long, signs array<array<long>>")
     signed = table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")  # row is settled once written
     sets = ["n", "one", "two"]
     least = F.min(F.nullif("id", F.lit("\x00")).cast(kind))
-    classes = table(signed.where("n > 0").groupBy(*sets).agg(F.min("row").alias("node"), least.alias("least")), "classes")
+    classes = table(signed.where("n > 0").groupBy(*sets).agg(F.min("row").alias("node"), least.alias("least")), "classes", small=True)
     reps = classes.select(F.col("node").alias("row"))
     total = signed.agg(F.sum("many"), F.sum("bytes")).first()
     rounds = min(SLICES, max(1, -(-2 * SIGN_BYTES * (total[0] or 0) // max(1, total[1] or 1))))
@@ -243,10 +244,10 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         own = F.flatten(F.array(*[F.get("signs", F.lit(i)) for i in range(k, SLICES, rounds)]))
         signs = signed.select("row", own.alias("signs")).join(reps, "row", "left_semi").select("row", F.explode("signs").alias("sign"))
         shared = signs.groupBy("sign").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi")
-        found.append(table(signs.join(shared, "sign").where("row <> lo").select(F.col("lo").alias("a"), F.col("row").alias("b")).distinct(), "edges"))
+        found.append(table(signs.join(shared, "sign").where("row <> lo").select(F.col("lo").alias("a"), F.col("row").alias("b")).distinct(), "edges", small=True))
     edges = reduce(DataFrame.union, found)
     clusters = components(edges).select(F.col("id").alias("node"), F.col("root").alias("cluster"))
-    members = table(clusters.join(signed.select(F.col("row").alias("node"), "id", "same", *sets), "node"), "members")
+    members = table(clusters.join(signed.select(F.col("row").alias("node"), "id", "same", *sets), "node"), "members", small=True)
 
     # texts of members: a filter of bounded size first, so that few others are shuffled
     bucket = lambda: F.pmod(F.xxhash64("id", "same"), F.lit(FILTER_BUCKETS))
@@ -260,6 +261,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at:at + BATCH]
                 yield pd.DataFrame({"node": part["node"], "cluster": part["cluster"], "elements": [s.view(np.int64) for s in shingle_sets(part["text"].tolist(), words)]})
+        trim()
 
     held = to_read.mapInPandas(again, "node long, cluster long, elements array<long>").join(load, "cluster")
     held = table(held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "held")
@@ -267,12 +269,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         found = linked([np.asarray(x).view(_U) for x in pdf["elements"]], pdf["group"].tolist(), percent, pdf["block"].to_numpy() if (pdf["other"] != pdf["unit"]).any() else None)
         node = pdf["node"].to_numpy()
+        trim()
         return pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["a", "b"]).astype("int64")
 
     columns = ["node", "elements", "block", "cluster"]
     where = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     within = held.select(*columns, F.explode(where).alias("unit")).withColumn("other", F.col("unit")).withColumn("group", F.col("node"))
-    links = table(within.groupBy("cluster", "unit").applyInPandas(compare, "a long, b long"), "links")
+    links = table(within.groupBy("cluster", "unit").applyInPandas(compare, "a long, b long"), "links", small=True)
     if not load.where("blocks > 1").isEmpty():
         joined = components(links).select(F.col("id").alias("node"), F.col("root").alias("joined"))
         state = held.where("blocks > 1").join(joined, "node", "left").withColumn("group", F.coalesce("joined", "node")).drop("joined")
@@ -280,7 +283,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))).alias("with")
         across = state.join(loose, "cluster", "left_semi").select(*columns, "group", others)
         across = across.withColumn("unit", F.least("block", "with")).withColumn("other", F.greatest("block", "with"))
-        links = links.union(table(across.groupBy("cluster", "unit", "other").applyInPandas(compare, "a long, b long"), "links"))
+        links = links.union(table(across.groupBy("cluster", "unit", "other").applyInPandas(compare, "a long, b long"), "links", small=True))
     found = components(links).select(F.col("id").alias("node"), "root")
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -9,13 +9,14 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, running_total, table, uniform_key
+from .common import own_columns, running_total, table, trim, uniform_key
 
 #: Tokens a sequence holds, and the id after each document.
 CAPACITY, END_ID = 1024, 2
@@ -28,6 +29,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@cache
 def fast_encoder(path: str):
     """text -> ids, the same as tokenizers' encode(text, add_special_tokens=False) gives for a byte-level BPE file, some four times as fast.
 
@@ -82,6 +84,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             made = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
             made["id"] = made["id"].astype(batch["id"].dtype)
             yield made
+        trim()
 
     rows = own_columns(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     kind = rows.schema["id"].dataType

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="millrace-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 

@@ -16,7 +16,7 @@ def tumbling(df: DataFrame, ts: str, width: str, keys: list[str], measures: dict
 
 
 def hopping(df: DataFrame, ts: str, width: str, hop: str, keys: list[str], measures: dict[str, Column]) -> DataFrame:
-    """Partial sums by key and hop first, where the measures allow it, is left to Spark's partial aggregates: each row is expanded to width / hop windows map-side and combined before the shuffle."""
+    """As tumbling, with windows that overlap: each row is expanded to width / hop windows and combined map-side before the shuffle."""
     return _windowed(df, F.window(ts, width, hop), keys, measures)
 
 

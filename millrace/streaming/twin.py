@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,6 +20,7 @@ def scratch(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="millrace-stream-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
 

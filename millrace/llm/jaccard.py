@@ -248,40 +248,45 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     edges = reduce(DataFrame.union, found)
     clusters = components(edges).select(F.col("id").alias("node"), F.col("root").alias("cluster"))
     members = table(clusters.join(signed.select(F.col("row").alias("node"), "id", "same", *sets), "node"), "members", small=True)
+    # blocks are dealt while rows are narrow: what carries elements is only ever shuffled by node, or by cluster and block
+    load = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(unit)).cast("int").alias("blocks"))
+    members = members.join(load, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = table(members.select("node", "cluster", "blocks", "block", "id", "same"), "members", small=True)
 
     # texts of members: a filter of bounded size first, so that few others are shuffled
     bucket = lambda: F.pmod(F.xxhash64("id", "same"), F.lit(FILTER_BUCKETS))
     wanted = members.select(bucket().alias("bucket")).distinct()
     texts = source.withColumn("bucket", bucket()).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket").dropDuplicates(["id", "same"])
-    load = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(unit)).cast("int").alias("blocks"))
-    to_read = texts.join(members, ["id", "same"]).select("node", "cluster", "text")
+    deal = ["node", "cluster", "blocks", "block"]
+    to_read = texts.join(members, ["id", "same"]).select(*deal, "text")
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at:at + BATCH]
-                yield pd.DataFrame({"node": part["node"], "cluster": part["cluster"], "elements": [s.view(np.int64) for s in shingle_sets(part["text"].tolist(), words)]})
+                yield part[deal].assign(elements=[s.view(np.int64) for s in shingle_sets(part["text"].tolist(), words)])
         trim()
 
-    held = to_read.mapInPandas(again, "node long, cluster long, elements array<long>").join(load, "cluster")
-    held = table(held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "held")
+    held = table(to_read.mapInPandas(again, "node long, cluster long, blocks int, block int, elements array<long>"), "held")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         found = linked([np.asarray(x).view(_U) for x in pdf["elements"]], pdf["group"].tolist(), percent, pdf["block"].to_numpy() if (pdf["other"] != pdf["unit"]).any() else None)
         node = pdf["node"].to_numpy()
-        trim()
+        if len(node) > 1_000:
+            trim()
         return pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["a", "b"]).astype("int64")
 
     columns = ["node", "elements", "block", "cluster"]
     where = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     within = held.select(*columns, F.explode(where).alias("unit")).withColumn("other", F.col("unit")).withColumn("group", F.col("node"))
     links = table(within.groupBy("cluster", "unit").applyInPandas(compare, "a long, b long"), "links", small=True)
-    if not load.where("blocks > 1").isEmpty():
+    if not members.where("blocks > 1").isEmpty():
         joined = components(links).select(F.col("id").alias("node"), F.col("root").alias("joined"))
         state = held.where("blocks > 1").join(joined, "node", "left").withColumn("group", F.coalesce("joined", "node")).drop("joined")
-        loose = state.groupBy("cluster").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select("cluster")
+        loose = state.groupBy("cluster", "blocks").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y")
+        loose = loose.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))).alias("with")
-        across = state.join(loose, "cluster", "left_semi").select(*columns, "group", others)
+        across = state.join(loose, ["cluster", "block"], "left_semi").select(*columns, "group", others)
         across = across.withColumn("unit", F.least("block", "with")).withColumn("other", F.greatest("block", "with"))
         links = links.union(table(across.groupBy("cluster", "unit", "other").applyInPandas(compare, "a long, b long"), "links", small=True))
     found = components(links).select(F.col("id").alias("node"), "root")

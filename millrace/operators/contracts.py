@@ -227,7 +227,8 @@ UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 def from_json_schema(schema: dict, payload: str = "payload") -> list[tuple[str, Column]]:
     """Failure columns compiled from a JSON-Schema contract, over payload, a map of text.
 
-    Covers required, const, enum, minimum, minLength, the formats uuid, date and date-time, type integer and number, and additionalProperties false.
+    Covers required, const, enum, minimum, maximum, minLength, the formats uuid, date, date-time and zoned (a date-time that names its zone), type
+    integer and number, and additionalProperties false.
     A property that is absent or null is checked by required alone.
     """
     get = lambda n: F.col(payload)[n]
@@ -246,10 +247,15 @@ def from_json_schema(schema: dict, payload: str = "payload") -> list[tuple[str,
             out.append((f"TYPE_{name}", here & get(n).try_cast("double").isNull()))
         if "minimum" in p:
             out.append((f"MINIMUM_{name}", here & (get(n).try_cast("double") < float(p["minimum"]))))
+        if "maximum" in p:
+            out.append((f"MAXIMUM_{name}", here & (get(n).try_cast("double") > float(p["maximum"]))))
         if "minLength" in p:
             out.append((f"LENGTH_{name}", here & (F.length(get(n)) < int(p["minLength"]))))
         if p.get("format") == "uuid":
             out.append((f"FORMAT_{name}", here & ~get(n).rlike(UUID)))
+        elif p.get("format") == "zoned":
+            zoned = get(n).rlike(r"(Z|[+-]\d\d:?\d\d)$") & F.try_to_timestamp(get(n)).isNotNull()
+            out.append((f"FORMAT_{name}", here & ~F.coalesce(zoned, F.lit(False))))
         elif p.get("format") == "date-time":
             out.append((f"FORMAT_{name}", here & F.try_to_timestamp(get(n)).isNull()))
         elif p.get("format") == "date":
@@ -258,3 +264,33 @@ def from_json_schema(schema: dict, payload: str = "payload") -> list[tuple[str,
         known = list(schema.get("properties", {}))
         out.append(("UNKNOWN_FIELD", F.exists(F.map_keys(F.col(payload)), lambda k: ~k.isin(*known))))
     return out
+
+
+def _event(event_type: str, required: dict, optional: dict | None = None) -> dict:
+    """The closed schema of an event: the envelope's fields and its own."""
+    envelope = {"event_id": {"format": "uuid"}, "event_ts": {"format": "zoned"}, "schema_version": {"const": "1"}, "source_system": {"type": "string"}, "property_code": {"type": "string"}, "trace_id": {"format": "uuid"}, "event_type": {"const": event_type}}
+    needs = ["event_id", "event_ts", "event_type", "source_system", "property_code", *required]
+    return {"additionalProperties": False, "required": needs, "properties": envelope | required | (optional or {})}
+
+
+_TEXT, _MONEY = {"type": "string"}, {"type": "number"}
+#: The fields and bounds of the five typed events.
+EVENT_SCHEMAS = {
+    "HOTEL_RESERVATION": _event("HOTEL_RESERVATION", {
+        "reservation_id": _TEXT, "guest_token": _TEXT, "arrival_date": {"format": "date-time"}, "departure_date": {"format": "date-time"}, "room_type_code": _TEXT,
+        "status": {"enum": ["BOOKED", "CHECKED_IN", "CHECKED_OUT", "CANCELLED", "NO_SHOW"]}, "channel": _TEXT}, {"room_revenue": _MONEY}),
+    "SLOT_PLAY": _event("SLOT_PLAY", {"session_id": _TEXT, "device_token": _TEXT, "coin_in": _MONEY, "payout": _MONEY}, {"guest_token": _TEXT, "jackpot_amount": _MONEY}),
+    "TABLE_PLAY": _event("TABLE_PLAY", {"session_id": _TEXT, "table_token": _TEXT, "game_code": _TEXT, "buy_in": _MONEY, "cash_out": _MONEY, "average_bet": _MONEY, "minutes_played": {"type": "integer", "minimum": 0, "maximum": 1440}}, {"guest_token": _TEXT}),
+    "REWARD_ACTIVITY": _event("REWARD_ACTIVITY", {
+        "reward_event_id": _TEXT, "guest_token": _TEXT, "activity_type": {"enum": ["EARN", "REDEEM", "ADJUST"]}, "points_delta": {"type": "integer"},
+        "source_domain": {"enum": ["GAMING", "HOTEL", "DINING", "ENTERTAINMENT", "SPA", "RETAIL"]}}, {"monetary_value": _MONEY}),
+    "MOBILE_APP": _event("MOBILE_APP", {"mobile_event_id": _TEXT, "action": _TEXT, "screen_name": _TEXT}, {"guest_token": _TEXT, "anonymous_session_id": _TEXT, "offer_token": _TEXT, "device_family": _TEXT}),
+}
+
+
+def typed_event_failures(payload: str = "payload") -> Column:
+    """Sorted failures of a typed event given as a map of text, by the schema of its event_type; UNKNOWN_EVENT_TYPE where there is none."""
+    kind, out = F.col(payload)["event_type"], F.array(F.lit("UNKNOWN_EVENT_TYPE"))
+    for name, schema in EVENT_SCHEMAS.items():
+        out = F.when(kind == name, reasons(from_json_schema(schema, payload))).otherwise(out)
+    return out

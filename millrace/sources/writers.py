@@ -71,3 +71,12 @@ def publish(rows: DataFrame, location: str, format: str = "parquet", **options:
         rows.withColumn("headers", entries).write.format("kafka").options(**options).option("kafka.bootstrap.servers", location).option("includeHeaders", "true").save()
     else:
         rows.write.mode("append").format(format).partitionBy("topic").save(location)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch_size: int = 10_000, partitions: int | None = None, **options: str) -> None:
+    """Rows to a database in batches, a transaction a partition; needs a JDBC driver on the class path.
+
+    A task that is retried writes its rows again: load a staging table, and merge from there by key.
+    """
+    rows = df.coalesce(partitions) if partitions else df
+    rows.write.format("jdbc").mode(mode).options(url=url, dbtable=table, batchsize=str(batch_size), **options).save()

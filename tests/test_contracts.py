@@ -69,3 +69,18 @@ def test_json_schema_compiles(spark):
     df = spark.createDataFrame([({"id": "x", "at": "y", "z": "1"},), ({"id": "123e4567-e89b-12d3-a456-426614174000"},), (None,)], "payload map<string,string>")
     got = [r[0] for r in df.select(C.reasons(C.from_json_schema(schema))).collect()]
     assert got == [["FORMAT_AT", "FORMAT_ID", "UNKNOWN_FIELD"], [], ["REQUIRED_ID"]]
+
+
+def test_typed_events(spark):
+    good = {"event_id": "123e4567-e89b-12d3-a456-426614174000", "event_ts": "2024-01-01T00:00:00Z", "event_type": "TABLE_PLAY", "source_system": "s", "property_code": "p", "session_id": "1", "table_token": "t", "game_code": "g", "buy_in": "1.50", "cash_out": "0", "average_bet": "2", "minutes_played": "1440"}
+    rows = [(good,), (good | {"minutes_played": "1441", "event_ts": "2024-01-01T00:00:00", "extra": "1"},), ({"event_type": "NONE"},), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "payload map<string,string>").select(C.typed_event_failures()).collect()]
+    assert got == [[], ["FORMAT_EVENT_TS", "MAXIMUM_MINUTES_PLAYED", "UNKNOWN_FIELD"], ["UNKNOWN_EVENT_TYPE"], ["UNKNOWN_EVENT_TYPE"]]
+
+
+def test_settings_are_bounded():
+    from millrace.session import Settings
+
+    assert Settings.from_env({"MILLRACE_BATCH_ROWS": "500", "OTHER": "1"}).batch_rows == 500
+    with pytest.raises(ValueError):
+        Settings.from_env({"MILLRACE_BATCH_ROWS": "5"})

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Spark's settings while a table is written: nothing else reads the write's shuffles, so their files go when it ends and not when
-#: the driver collects garbage; and whole texts cross to Python in batches of bounded size.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Spark's setting while a table is written: nothing else reads the write's shuffles, so their files go when it ends and not when
+#: the driver collects garbage.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Whole texts cross to Python in batches of so many bytes, and not of so many rows, whatever their length.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 #: Rows of two numbers that one task writes with ease.
 FEW = 200_000
@@ -56,6 +58,13 @@ def table(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds batches to Python at BATCH_BYTES for the session, as a lazy result crosses when its reader asks for it; a smaller setting stays."""
+    now = str(spark.conf.get(BATCH_SETTING)).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a scratch table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, own_columns, table
+from .common import bounded_batches, components, own_columns, table
 
 #: Fixed by the contract: the least cosine of a link.
 COSINE = 0.93
@@ -105,6 +105,7 @@ def near_groups(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     compared: no list meets in one task, and what a task returns is a count per vector and a forest, never its pairs.
     """
     spark = rows.sparkSession
+    bounded_batches(spark)
     named = own_columns(rows, id=id_col, vector=vector_col, label=label_col).withColumn("vector", F.col("vector").cast("array<double>"))
     usable = F.col("label").isNotNull() & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     kept = named.withColumn("usable", F.coalesce(usable, F.lit(False)))

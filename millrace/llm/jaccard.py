@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, own_columns, table, trim
+from .common import bounded_batches, components, own_columns, table, trim
 
 #: Fixed by the contract: words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 3, 90
@@ -210,6 +210,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
        group, across pairs of blocks as well. So a tight component costs time in proportion to its size.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = own_columns(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     kind = rows.schema["id"].dataType
     source = rows.select(_id_text(rows).alias("id"), F.xxhash64("text").alias("same"), "text")

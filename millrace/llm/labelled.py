@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, own_columns
+from .common import bounded_batches, crc_mod, own_columns
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int = 5, held_out: int = 0, by_class: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,6 +35,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int
 
 def scored(docs: DataFrame, score: Callable[[list[str]], object], batch: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each row of docs; score takes a list of texts. Ids cross to pandas as text, so that nulls and long numbers stay exact."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, own_columns
+from .common import bounded_batches, crc_mod, own_columns, trim
 
 #: The model's bounds: characters of labelled text that each language is learned from, and how much of one text at most.
 TRAIN_CHARS, TRAIN_TEXT_CHARS = 40_000, 4_000
@@ -23,7 +23,7 @@ SEGMENT = 2_048
 #: Segments that are parsed side by side.
 LANES = 16_384
 #: Texts at a time.
-BATCH = 2_000
+BATCH = 600
 UNDEFINED = "und"
 
 
@@ -64,7 +64,7 @@ class CrossParser:
         self.languages = sorted(texts)
         folded = {k: self.fold(v) for k, v in texts.items()}
         known = sorted({c for v in folded.values() for c in v if c.isalpha()})
-        self.code = np.zeros(0x110000, dtype=np.int32)
+        self.code = np.zeros(0x110000, dtype=np.uint16)
         for c in range(0x110000):
             if chr(c).isalpha():
                 self.code[c] = 1
@@ -90,7 +90,7 @@ class CrossParser:
         return unicodedata.normalize("NFC", text).lower()
 
     def encode(self, folded: str) -> np.ndarray:
-        codes = self.code[np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        codes = self.code[np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int32)
         keep = codes > 0
         keep[1:] |= codes[:-1] > 0
         return codes[keep]
@@ -159,6 +159,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def judged(docs: DataFrame, parser: CrossParser, text_col: str = "text") -> DataFrame:
     """docs with a further column judged (lang_pred, score); the parser goes to each executor once, a bounded model."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(parser)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -166,6 +167,7 @@ def judged(docs: DataFrame, parser: CrossParser, text_col: str = "text") -> Data
         for texts in batches:
             parts = [model.value.judge(texts.iloc[at:at + BATCH].tolist()) for at in range(0, len(texts), BATCH)]
             yield pd.DataFrame({"lang_pred": [x for lang, _ in parts for x in lang], "score": [x for _, score in parts for x in score]})
+        trim()
 
     return docs.withColumn("judged", judge(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 

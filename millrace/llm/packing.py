@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, running_total, table, trim, uniform_key
+from .common import bounded_batches, own_columns, running_total, table, trim, uniform_key
 
 #: Tokens a sequence holds, and the id after each document.
 CAPACITY, END_ID = 1024, 2
@@ -73,6 +73,8 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length, ids_crc32 of each piece, as a written table; ids themselves are not kept."""
 
+    bounded_batches(docs.sparkSession)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = fast_encoder(path)
         end = struct.pack("<I", end_id)

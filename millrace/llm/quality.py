@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, own_columns
+from .common import bounded_batches, crc_mod, own_columns
 from .labelled import sample, scored
 
 #: Words are hashed to so many rows of vectors of so many dimensions; an index vector has so many entries of 1 or -1.
@@ -65,6 +65,8 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     driver gets ROWS vectors whatever the corpus.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, (columns, signs) = _Ids(), index_vectors()
         total = np.zeros(ROWS * DIMENSIONS)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import bounded_batches, crc_mod, table
 from .labelled import sample, scored
 
 #: Characters of an n-gram, and bits of the table they are hashed to.
@@ -94,6 +94,7 @@ def regress(owner: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from about rows labelled texts outside the held-out fold. Texts stay on the executors: the driver gets counts by bucket, then each text's features."""
+    bounded_batches(docs.sparkSession)
     chosen = table(sample(docs, labels, label, rows, folds, held_out, by_class=True, id_col=id_col, text_col=text_col).repartition(8), "sample")
     size = 1 << BITS
 

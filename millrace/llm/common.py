@@ -21,6 +21,8 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Whole texts cross to Python in batches of so many bytes, and not of so many rows, whatever their length.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
+#: Buckets of the filter that spares texts a shuffle: a broadcast of at most so many numbers.
+FILTER_BUCKETS = 1 << 20
 #: Rows of two numbers that one task writes with ease.
 FEW = 200_000
 
@@ -158,6 +160,17 @@ def trim() -> None:
         pass  # a C library without it
 
 
+def likely(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df whose keys may be in wanted, without a shuffle of df: those in the same hash bucket as a row of wanted.
+
+    What is broadcast is bounded by FILTER_BUCKETS however large wanted is; the more of the buckets are taken, the less
+    is left out. An exact join has to follow.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BUCKETS)).alias("_bucket")
+    taken = wanted.select(bucket).distinct()
+    return df.withColumn("_bucket", bucket).join(F.broadcast(taken), "_bucket", "left_semi").drop("_bucket")
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; the held-out split of the contracts. A null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))

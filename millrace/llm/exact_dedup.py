@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, own_columns, table
+from .common import SPACE, likely, own_columns, table
 
 #: Characters of the normalised text that the prefix hash covers.
 PREFIX = 256
@@ -27,7 +27,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are partial aggregates, and the one join by group has one row per group on its other side, so that
     adaptive execution can split a group that holds a third of all rows.
     With digests, the whole content has to be read for the result itself, so the one scan also
-    yields the full hash; else a second scan hashes the surviving rows alone. Null ids are kept: keep_id is the least non-null id of
+    yields the full hash; else a second scan hashes the surviving rows alone, and a filter of bounded size keeps most others out of the shuffle. Null ids are kept: keep_id is the least non-null id of
     the group, null if there is none.
     """
     norm = normalised(F.col("text"))
@@ -44,8 +44,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if digests:
         left = rows.join(surviving, ["length", "prefix"], "left_semi")
     else:
-        ids = rows.join(surviving, ["length", "prefix"], "left_semi").select("id").distinct()
-        left = narrow.join(ids, narrow["id"].eqNullSafe(ids["id"]), "left_semi").select(*first[:2], F.unhex(F.sha2(norm, 256)).alias("digest"))
+        ids = table(rows.join(surviving, ["length", "prefix"], "left_semi").select("id").distinct(), "survivors", small=True)
+        some = likely(narrow, ids, ["id"])
+        left = some.join(ids, some["id"].eqNullSafe(ids["id"]), "left_semi").select(*first[:2], F.unhex(F.sha2(norm, 256)).alias("digest"))
     # level 3
     groups = left.groupBy("length", "digest").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     if digests:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, own_columns, table, trim
+from .common import bounded_batches, components, likely, own_columns, table, trim
 
 #: Fixed by the contract: words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 3, 90
@@ -29,8 +29,6 @@ SPARE = 0.15
 COMMON, SAMPLE = 3, 8_000
 #: Shingles that one task compares with as many others at a time.
 UNIT = 200_000
-#: Buckets of the bounded filter that spares texts a shuffle.
-FILTER_BUCKETS = 1 << 20
 #: Signatures are kept in slices by their value and matched in rounds of some slices each: so many that a round's shuffles take
 #: about half as much as the texts at most, with so many bytes a signature.
 SLICES, SIGN_BYTES = 16, 48
@@ -255,9 +253,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     members = table(members.select("node", "cluster", "blocks", "block", "id", "same"), "members", small=True)
 
     # texts of members: a filter of bounded size first, so that few others are shuffled
-    bucket = lambda: F.pmod(F.xxhash64("id", "same"), F.lit(FILTER_BUCKETS))
-    wanted = members.select(bucket().alias("bucket")).distinct()
-    texts = source.withColumn("bucket", bucket()).join(F.broadcast(wanted), "bucket", "left_semi").drop("bucket").dropDuplicates(["id", "same"])
+    texts = likely(source, members, ["id", "same"]).dropDuplicates(["id", "same"])
     deal = ["node", "cluster", "blocks", "block"]
     to_read = texts.join(members, ["id", "same"]).select(*deal, "text")
 

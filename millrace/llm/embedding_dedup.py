@@ -26,6 +26,8 @@ APART = 0.8
 NEAREST, SHARED = 6, 3
 #: Vectors that one task compares with as many others at a time.
 UNIT = 2_000
+#: Rows of lists that go to Python together.
+GROUP_ROWS = 10_000
 
 
 def choose_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
@@ -139,18 +141,28 @@ def near_groups(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     units = placed.join(indexed.select("node", "vector", "own"), "node").select("node", "copies", "vector", "own", "block", *lists, "unit", "other")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        vec = unit(np.stack(pdf["vector"].to_numpy()).astype(np.float64))
-        own = np.stack(pdf["own"].to_numpy()).astype(np.int32).reshape(len(pdf), -1)
-        entry = np.array([int(p) for p in pdf["entry"].iloc[0].split("-") if p], dtype=np.int32)
-        if not len(entry):
-            own, entry = np.zeros((len(pdf), 1), np.int32), np.zeros(1, np.int32)
-        side = pdf["block"].to_numpy() if pdf["unit"].iloc[0] != pdf["other"].iloc[0] else None
-        counts, forest = compare_unit(vec, own, pdf["copies"].to_numpy(), entry, side, cosine)
-        node, some = pdf["node"].to_numpy(), np.flatnonzero(counts)
-        out = pd.DataFrame({"a": node[some], "b": -1, "n": counts[some]})
-        return pd.concat([out, pd.DataFrame([(node[a], node[b], 0) for a, b in forest], columns=["a", "b", "n"])]).astype("int64")
-
-    compared = table(units.groupBy(*lists, "unit", "other").applyInPandas(compare, "a long, b long, n long"), "compared", small=True)
+        vectors, owns, node, copies, block = (pdf[c].to_numpy() for c in ("vector", "own", "node", "copies", "block"))
+        counted, totals, edges = [], [], []
+        for (_, _, entry, one, other), at in pdf.groupby([*lists, "unit", "other"], sort=False).indices.items():
+            if len(at) < 2:
+                continue
+            pivots_of = np.array([int(p) for p in entry.split("-") if p], dtype=np.int32)
+            own = np.stack(owns[at]).astype(np.int32).reshape(len(at), -1)
+            if not len(pivots_of):
+                own, pivots_of = np.zeros((len(at), 1), np.int32), np.zeros(1, np.int32)
+            counts, forest = compare_unit(unit(np.stack(vectors[at]).astype(np.float64)), own, copies[at], pivots_of, block[at] if one != other else None, cosine)
+            some = np.flatnonzero(counts)
+            counted.append(node[at][some])
+            totals.append(counts[some])
+            edges += [(node[at[i]], node[at[j]], 0) for i, j in forest]
+        empty = [np.zeros(0, np.int64)]
+        out = pd.DataFrame({"a": np.concatenate(counted or empty), "b": -1, "n": np.concatenate(totals or empty)})
+        return pd.concat([out, pd.DataFrame(edges, columns=["a", "b", "n"])]).astype("int64")
+
+    # many lists to a group, as most are short: a group has about GROUP_ROWS rows, whatever their number
+    rows_in_all = sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    part = F.pmod(F.xxhash64(*lists, "unit", "other"), F.lit(1 + rows_in_all // GROUP_ROWS))
+    compared = table(units.groupBy(part.alias("part")).applyInPandas(compare, "a long, b long, n long"), "compared", small=True)
     counts = compared.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     roots = components(compared.where("b >= 0").select("a", "b")).select(F.col("id").alias("node"), "root")
     known = classes.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import likely, table
 
 #: Kinds in their order, and patterns. The patterns match the same as the plain ones of the
 #: contract; possessive quantifiers and looking behind only spare them retries and deep recursion.
@@ -20,7 +20,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}[\p{L}\p{N}]*+"
 
-#: A term is in an entity's context if it is among so many words before or after it, within so many characters.
+#: Terms meet an entity by document. What tells an entity's mentions apart, so that copies of a passage are known as one context, is
+#: the text around it: so many characters before and after; the nearest so many words either side meet each mention of its own.
 CONTEXT_WORDS, CONTEXT_CHARS = 4, 80
 #: Different contexts in which a term and an entity must have met: fewer are no estimate.
 LEAST_CONTEXTS = 3
@@ -116,7 +117,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, base: array of (start, kind, end, value), terms: array of (entity, context, term, start, end)."""
+    """row, id, base: array of (start, kind, end, value), masked: the text without base where there are any, near: array of (entity, context, terms), one for each of base."""
     text = F.col("text")
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     d = d.withColumn("row", F.monotonically_increasing_id()).withColumn("m", base_spans(text))
@@ -129,7 +130,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = d.withColumn("masked", F.when(F.size("base") > 0, masked(text, F.col("base"))))
 
     def near(span: Column) -> Column:
-        """The terms around one span, with their places in the text."""
+        """One span's entity, the hash of the text around it, and the terms nearest to it."""
         begin = F.greatest(F.lit(0), span["start"] - CONTEXT_CHARS)
         before = F.substring("masked", begin + 1, span["start"] - begin)
         # a word that the window's edge cuts is none
@@ -140,37 +141,52 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         value = F.when(span["kind"] == 0, F.lower(span["value"])).otherwise(digits(span["value"]))
         entity = F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] == 1, span["value"]).otherwise(value))
         context = F.xxhash64(before, after)
+        earlier, later = matches(F.substring(before, first + 1, F.length(before)), TERM), matches(after, TERM)
+        earlier = F.slice(earlier, F.greatest(F.lit(1), F.size(earlier) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS))
+        terms = F.transform(F.concat(earlier, F.slice(later, F.lit(1), F.lit(CONTEXT_WORDS))), F.lower)
+        return F.struct(entity.alias("entity"), context.alias("context"), terms.alias("terms"))
 
-        def terms(part: Column, offset: Column, last: bool) -> Column:
-            all_terms = positions(part, TERM, matches(part, TERM), lambda v: F.lit(True))
-            some = F.slice(all_terms, F.greatest(F.lit(1), F.size(all_terms) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS)) if last else F.slice(all_terms, F.lit(1), F.lit(CONTEXT_WORDS))
-            return F.transform(some, lambda t: F.struct(entity.alias("entity"), context.alias("context"), F.lower(t["value"]).alias("term"), (t["start"] + offset).alias("start"), (t["end"] + offset).alias("end")))
+    none = F.array().cast("array<struct<entity:string,context:bigint,terms:array<string>>>")
+    nearest = F.when(F.size("base") > 0, F.transform("base", near)).otherwise(none)
+    return table(d.select("row", "id", "base", "masked", nearest.alias("near")), "found")
 
-        before = F.substring(before, first + 1, F.length(before))
-        return F.concat(terms(before, begin + first, True), terms(after, span["end"], False))
 
-    no_terms = F.array().cast("array<struct<entity:string,context:bigint,term:string,start:int,end:int>>")
-    terms = F.when(F.size("base") > 0, F.flatten(F.transform("base", near))).otherwise(no_terms)
-    return table(d.select("row", "id", "base", terms.alias("terms")), "found")
+def terms_of(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(matches(text, TERM), F.lower))
+
+
+def _entities(found: DataFrame) -> DataFrame:
+    """(row, words, entity, context) for each document and different entity in it: all terms of the document, and the first of the entity's contexts there."""
+    names = F.array_distinct(F.transform("near", lambda x: x["entity"]))
+    first = F.transform(names, lambda e: F.struct(e.alias("entity"), F.element_at(F.col("near.context"), F.array_position(F.col("near.entity"), e).cast("int")).alias("context")))
+    d = found.where(F.size("near") > 0).select("row", terms_of(F.col("masked")).alias("words"), first.alias("first"))
+    return d.select("row", "words", F.explode("first").alias("e")).select("row", "words", "e.entity", "e.context")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str, threshold: float = THRESHOLD, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
     """(entity, term, disclosure) of the pairs over the threshold.
 
     By documents of the whole corpus: disclosure = PMI(term; entity) / IC(entity) = log(D n(t,e) / (n(t) n(e))) / log(D / n(e)), 1
-    where the term occurs only with the entity. Pairs are counted within contexts, a fixed number for each span, so
-    their count follows the spans; all counts have partial aggregates before their shuffle.
+    where the term occurs only with the entity. All terms of a document meet all entities in it, wherever they stand. A document
+    is one context of a pair, that of the entity's first mention; terms nearest to other mentions have those too.
+    A pair has no more contexts than its entity: entities with too few are left out before pairs are made, without loss.
+    All counts have partial aggregates before their shuffle.
     """
+    mentions = found.select("row", F.explode("near").alias("e")).select("row", "e.entity", "e.context", "e.terms")
+    often = mentions.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("contexts"))
+    often = often.where(F.col("contexts") >= least_contexts).select("entity")
+    names = found.select(F.explode(F.array_distinct(F.col("near.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_entity = table(names.join(often, "entity"), "entities", small=True)
+    met = likely(_entities(found), n_entity, ["entity"]).select("entity", "context", F.explode("words").alias("term"), F.lit(1).alias("documents"))
+    near = likely(mentions, n_entity, ["entity"]).select("entity", "context", F.explode("terms").alias("term"), F.lit(0).alias("documents"))
     pairs = (
-        found.select("row", F.explode("terms").alias("t")).select("row", "t.entity", "t.context", "t.term")
-        .groupBy("entity", "term").agg(F.countDistinct("row").alias("n_both"), F.countDistinct("context").alias("contexts"))
+        met.union(near).groupBy("entity", "term", "context").agg(F.sum("documents").alias("documents"))
+        .groupBy("entity", "term").agg(F.sum("documents").alias("n_both"), F.count("*").alias("contexts"))
         .where(F.col("contexts") >= least_contexts)
     )
     pairs = table(pairs.select("entity", "term", "n_both"), "pairs")
-    value = lambda s: F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(digits(s["value"]))
-    entities = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), value(s))))
-    n_entity = found.select(F.explode(entities).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = F.array_distinct(matches(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), TERM))
+    words = terms_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     n_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = found.count()
     pairs = pairs.join(n_entity, "entity").join(n_term, "term")
@@ -182,15 +198,16 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str, threshold: floa
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
     """row, id, base and spans, arrays of (start, kind, end, value) in order; kind is a place in KINDS, spans has the terms too.
 
-    A term is a span where it stands in the context of an entity that it discloses, not elsewhere: documents without personal data stay as they are.
+    A term is a span wherever it stands in a document that has an entity which it discloses, not in others: documents without personal data stay as they are.
     """
     found = _found(docs, id_col, text_col)
-    marked = disclosing(docs, found, text_col, threshold, least_contexts)
-    places = (
-        found.select("row", F.explode("terms").alias("t")).select("row", "t.entity", "t.term", "t.start", "t.end")
-        .join(marked, ["entity", "term"])
-        .groupBy("row").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", F.col("term").alias("value"))).alias("more"))
-    )
+    marked = table(disclosing(docs, found, text_col, threshold, least_contexts), "marked", small=True)
+    held = likely(_entities(found), marked, ["entity"]).select("row", "entity", F.explode("words").alias("term"))
+    marks = likely(held, marked, ["entity", "term"]).join(marked, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("marks"))
+    marks = table(marks, "marks", small=True)
+    every = positions(F.col("masked"), TERM, matches(F.col("masked"), TERM), lambda v: F.array_contains(F.col("marks"), F.lower(v)))
+    more = F.transform(every, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
+    places = likely(found.select("row", "masked"), marks, ["row"]).join(marks, "row").select("row", more.alias("more"))
     both = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more")))
     return found.select("row", "id", "base").join(places, "row", "left").select("row", "id", "base", both.alias("spans"))
 

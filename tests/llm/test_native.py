@@ -139,6 +139,27 @@ def test_terms_that_disclose_an_entity(spark):
     assert pair.disclosure == pytest.approx(1.0)
 
 
+def test_terms_disclose_an_entity_wherever_they_stand(spark):
+    """Annika stands near the address in some documents and far from it in others, and again later: one term in all of them, marked each time."""
+    far = "from the finance department of our house can be reached any day this week at"
+    rows = [(i, f"note{i} Annika {far if i % 2 else ''} ann.lee@acme.org about{i} and " + f"more of what is here so {i} " * 9 + "ask ANNIKA") for i in range(6)]
+    rows += [(10 + i, f"note a {far} and about more of what is here so {i} ask") for i in range(60)]
+    # in one document, three mentions far from a term are one context; a term nearest to each of the three has three
+    rows += [(200, "Olga " + " ".join(f"zz@acme.org Pavel {far} {i}" for i in range(3)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.id: r for r in pii.pii_spans(df).collect()}
+    terms = {i: [(s.start, s.end, s.value) for s in r.spans if pii.KINDS[s.kind] == "term"] for i, r in out.items()}
+    texts = dict(rows)
+    for i in range(6):
+        end = len(texts[i])
+        assert terms[i] == [(6, 12, "annika"), (end - 6, end, "annika")]
+    assert {v for _, _, v in terms[200]} == {"pavel"} and len(terms[200]) == 3
+    assert all(terms[i] == [] for i in range(10, 70))
+    # by hand: 6 documents of 67 each and together
+    pair = pii.disclosing(df, pii._found(df, "doc_id", "text"), "text").where("term = 'annika'").first()
+    assert pair.disclosure == pytest.approx(1.0)
+
+
 def test_native_operators_on_empty_tables(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.exact_dedup(empty, digests=True).count() == 0
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0 and pii.pii_spans(empty).count() == 0

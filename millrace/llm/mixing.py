@@ -50,37 +50,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     crosses it, so each source gives exactly its budget. The order is range-sorted and summed by
     running_total, so a source with a third of all rows is spread over many tasks.
     """
+    return _placed(own_columns(docs, id=id_col, text=text_col, source=source_col), weights, epochs, seed)
+
+
+def _placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 42, kept: tuple[str, ...] = ()) -> DataFrame:
+    """mix of (id, text, source), with further columns kept."""
     rows = table(
-        own_columns(docs, id=id_col, text=text_col, source=source_col).select(
+        docs.select(
             "id", "source", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source")).alias("of"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            uniform_key(F.lit(seed), F.col("id")).alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"),
+            uniform_key(F.lit(seed), F.col("id")).alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"), *kept,
         ), "sizes")
     totals = rows.groupBy("source", "of").agg(F.sum("size").alias("source_size"))
     goals = targets(totals.drop("of"), weights, epochs)
     goals = goals.withColumn("of", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "source"))).drop("source")
-    placed = running_total(rows, ["of"], "key", ["id", "tie"], "size", "before").join(goals, "of")
+    placed = running_total(rows, ["of"], "key", ["id", "tie", *kept], "size", "before").join(goals, "of")
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least("size", rest - F.col("before")))
-    return placed.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *kept)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that mix takes, as often as it takes them, with the last copy cut after the last word that is taken.
 
-    A document of no words is in no budget; it is left out, as it has nothing to give. Ids are taken as unique: rows that
-    repeat one are taken alike. Columns of docs whose names begin with _mix are not expected.
+    A document of no words is in no budget; it is left out, as it has nothing to give. Rows are taken by a number of their own in a
+    written table, so that null and repeated ids are rows like others. Columns of docs whose names begin with _mix are not expected.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    chosen = mix(docs, **options).where("taken > 0").select(F.col("id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    out = docs.join(chosen.dropDuplicates(["_mix_id"]), docs[id_col] == F.col("_mix_id"))
+    names = {k: options.pop(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    text_col = names["text_col"]
+    docs = table(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix_rows")
+    placed = _placed(own_columns(docs, id=names["id_col"], text=text_col, source=names["source_col"], _mix_row="_mix_row"), kept=("_mix_row",), **options)
+    chosen = placed.where("taken > 0").select("_mix_row", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    columns = [c for c in docs.columns if c != "_mix_row"]
+    out = docs.join(chosen, "_mix_row")
     words = F.transform(F.sequence(F.lit(1), F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("int")), lambda i: F.least("_mix_size", F.col("_mix_taken") - (i - 1) * F.col("_mix_size")))
     out = out.withColumn("_mix_words", F.explode(words))
     # a word with the white space before it, so many times: what is kept stays as it was
     cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(rf"{SPACE}*+{WORD}"), F.lit(0)), F.lit(1), F.col("_mix_words").cast("int")), "")
-    return out.withColumn(text_col, F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col(text_col))).select(*docs.columns)
+    return out.withColumn(text_col, F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

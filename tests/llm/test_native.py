@@ -102,6 +102,16 @@ def test_mixed_takes_what_the_mix_says(hostile):
     assert got == {r.id: r.taken for r in mixing.mix(single).collect() if r.taken}
 
 
+def test_mixed_takes_null_and_repeated_ids(hostile):
+    """Each source's budget to the word, of rows whatever their ids."""
+    odd = hostile.select(F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("doc_id") % 7).alias("doc_id"), "text", "source").where("length(text) < 5000")
+    out = mixing.mixed(odd)
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    got = {(r.doc_id, r.source): r.n for r in out.groupBy("doc_id", "source").agg(F.sum(words).alias("n")).collect()}
+    want = {(r.id, r.source): r.n for r in mixing.mix(odd).where("taken > 0").groupBy("id", "source").agg(F.sum("taken").alias("n")).collect()}
+    assert got == want and any(i is None for i, _ in got)
+
+
 def test_line_dedup(spark):
     html = lambda nav, body: f"<html><script>x<p></script><body><nav>{nav}</nav><p>{body}</p><!-- <p>no</p> --></body></html>"
     rows = [(i, "http://A.com/x", html("Home | About", f"body {i}"), "c") for i in range(6)] + [(10, "https://u@b.org:80/", html("Home | About", "alone"), "c"), (11, None, None, None), (11, None, None, None), (12, "nonsense", "", "c"), (13, "http://a.com", "plain\nHome  |  About", "c")]

@@ -178,10 +178,13 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
 
 
 def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows that are in no language: null texts and those without a letter."""
+    """docs without the rows that are in no language: null texts and those without a letter. Where no language is learned, that is told by letters alone."""
+    parser = learn(docs, id_col, text_col, lang_col)
+    if not parser.languages:
+        return docs.where(F.regexp_like(F.col(f"`{text_col}`"), F.lit(r"\p{L}")))
     with_index = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = f"c{docs.columns.index(text_col)}"
-    kept = judged(with_index, learn(docs, id_col, text_col, lang_col), at).where(F.col("judged.lang_pred") != UNDEFINED)
+    kept = judged(with_index, parser, at).where(F.col("judged.lang_pred") != UNDEFINED)
     return kept.drop("judged").toDF(*docs.columns)
 
 

@@ -243,6 +243,15 @@ def test_language_on_hostile_rows(hostile, hostile_rows, empty):
     assert {r.lang_pred for r in language.identify(hostile, language.CrossParser({})).collect()} == {"und"}
 
 
+def test_language_without_labels_keeps_texts_with_letters(hostile, hostile_rows):
+    """No lang at all, and lang on held-out rows alone: nothing is learned, and no text with a letter goes."""
+    want = sum(any(c.isalpha() for c in r[1] or "") for r in hostile_rows)
+    held_out = F.when(language.crc_mod("doc_id", 4) == 2, F.lit("en"))
+    for lang in (F.lit(None).cast("string"), held_out):
+        kept = language.in_a_language(hostile.withColumn("lang", lang))
+        assert kept.columns == hostile.columns and kept.count() == want
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     found = QUERIES["op4_language"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import exact_dedup, jaccard, language, mixing, packing
-from millrace.llm.common import table
+from millrace.llm.common import drop_table, scratch_scope, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the least doc_id stays."""
+    """Of equal texts one row stays, that of the least doc_id."""
     return exact_dedup.first_copies(docs)
 
 
@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """What the last stage returns, as a written table; the tables between are deleted as soon as they have been read."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), False
     for name, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir), name)
+        with scratch_scope(spark):
+            made = table(stage(spark, docs, sf_dir), name, kept=True)
+        if read:
+            drop_table(spark, docs)
+        docs, read = made, True
     return docs

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,28 +29,36 @@ FILTER_BUCKETS = 1 << 20
 FEW = 200_000
 
 _own_dir: list[str] = []
+#: The folders of scratch tables of each scope that is open.
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where that is unset and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="millrace-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
-def table(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+def table(df: DataFrame, name: str, small: bool = False, kept: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, so that a lost
     executor costs no more than the tasks that read its part, and keeps narrow columns compressed.
 
-    With small, what many tasks have a few rows of each is rebalanced to files of the advisory size first.
+    With small, what many tasks have a few rows of each is rebalanced to files of the advisory size first. With kept, the table outlives
+    the scope it is written in.
     """
     df = df.hint("rebalance") if small else df
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    for scope in _scopes[-1:] if not kept else ():
+        scope.append(folder)
     before = {k: spark.conf.get(k, None) for k in WRITING}
     for k, v in WRITING.items():
         spark.conf.set(k, v)
@@ -67,12 +77,69 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+def _delete(spark: SparkSession, folders: set[str] | list[str]) -> None:
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a scratch table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, {f.rpartition("/")[0] for f in df.inputFiles()})
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """The scratch tables written within are deleted at its end: for callers that have written their result elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.pop())
+
+
+def settled(docs: DataFrame) -> DataFrame:
+    """docs as rows of Parquet files, which place() tells apart: docs itself where it is a plain scan of such files, else a table written of it."""
+    node = docs._jdf.queryExecution().analyzed()
+    kind = lambda n: n.getClass().getSimpleName()
+    while kind(node) in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    if kind(node) == "LogicalRelation" and kind(node.relation()) == "HadoopFsRelation" and "Parquet" in kind(node.relation().fileFormat()):
+        return docs
+    return table(docs, "settled")
+
+
+def place(docs: DataFrame) -> Column:
+    """Where a row of settled docs stands: (hash of the file's path, row of the file). No two rows have the same, whatever they hold, and it is the same at each scan."""
+    m = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(m["file_path"]).alias("file"), m["row_index"].alias("at"))
+
+
+def without(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose key is not in dropped, a written table with that one column.
+
+    Only rows in a hash bucket of dropped can be in it: the others pass by without a shuffle, unless dropped is so
+    small that it is broadcast by its known size.
+    """
+    spark = docs.sparkSession
+    if sum(1 for _ in dropped.inputFiles()) and dropped._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return docs.join(dropped, key, "left_anti")
+    bucket = F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS))
+    taken = dropped.select(bucket.alias("_bucket")).distinct().withColumn("_taken", F.lit(True))
+    marked = docs.withColumn("_bucket", bucket).join(F.broadcast(taken), "_bucket", "left").drop("_bucket")
+    sure, open_ = marked.where("_taken is null").drop("_taken"), marked.where("_taken").drop("_taken")
+    return sure.union(open_.join(dropped, key, "left_anti").select(*sure.columns))
+
+
+def by_place(docs: DataFrame) -> DataFrame:
+    """settled docs under names by position (c0, c1, ...), so that no name of docs clashes with one of ours, with _place."""
+    docs = settled(docs)
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], place(docs).alias("_place"))
+
+
+def named_back(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """What by_place(docs) has become, under the names of docs."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def own_columns(df: DataFrame, **names: str) -> DataFrame:
@@ -120,7 +187,8 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
 
     def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum("lo"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+        """What changes when the rows, all different, do: sums of ids would overflow."""
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first())
 
     def step(df: DataFrame, rows: int) -> DataFrame:
         """At most so many rows, written by a task for each FEW of them."""

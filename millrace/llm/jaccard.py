@@ -1,8 +1,8 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A text that is null or has no words has an empty set and is linked with nothing. Equal sets are one class, so
-copies cost one row each. Rows that repeat an id stay rows of their own; their class counts once. An empty table gives an empty result. Null ids are
-never the smallest of a component unless it has no other.
+copies cost one row each. Rows that repeat an id stay rows of their own; their class counts once. Further columns of any name pass
+through. An empty table gives an empty result. Null ids are never the smallest of a component unless it has no other.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, likely, own_columns, table, trim
+from .common import bounded_batches, by_place, components, likely, named_back, place, settled, table, trim, without
 
 #: Fixed by the contract: words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 3, 90
@@ -27,6 +27,8 @@ PARTS, DIFFER = 3, 1
 SPARE = 0.15
 #: A shingle is common if so many of a bounded sample of about so many texts have it.
 COMMON, SAMPLE = 3, 8_000
+#: Common shingles known at most; what is left out costs candidates.
+MOST_COMMON = 1 << 18
 #: Shingles that one task compares with as many others at a time.
 UNIT = 200_000
 #: Signatures are kept in slices by their value and matched in rounds of some slices each: so many that a round's shuffles take
@@ -179,14 +181,16 @@ def in_slices(signs: np.ndarray) -> list[np.ndarray]:
     return np.split(signs[order], np.cumsum(np.bincount(place.astype(np.int64), minlength=SLICES))[:-1])
 
 
-def _id_text(df: DataFrame):
+def _id_text():
     return F.coalesce(F.col("id").cast("string"), F.lit("\x00"))
 
 
 def common_shingles(source: DataFrame, words: int) -> np.ndarray:
-    """Shingles of COMMON or more of about SAMPLE different texts, sorted: what the index learns from a bounded sample. It decides what candidates cost, never which links are found."""
+    """Shingles of COMMON or more of about SAMPLE different texts, the MOST_COMMON commonest at most, sorted: what the index learns from a
+    bounded sample, whatever the length of its texts. It decides what candidates cost, never which links are found."""
     share = min(1.0, SAMPLE / max(1, source.count()))
-    some = source.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["same"])
+    some = source.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
+    some = some.withColumn("same", F.xxhash64("text")).dropDuplicates(["same"])
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,25 +198,45 @@ def common_shingles(source: DataFrame, words: int) -> np.ndarray:
                 yield pd.DataFrame({"element": np.concatenate(shingle_sets(batch["text"].iloc[at:at + BATCH].tolist(), words)).view(np.int64)})
 
     counted = some.select("text").mapInPandas(elements, "element long").groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    return np.sort(counted.select("element").toPandas()["element"].to_numpy(np.int64).view(_U))
+    most = counted.orderBy(F.desc("n"), "element").limit(MOST_COMMON)
+    return np.sort(most.select("element").toPandas()["element"].to_numpy(np.int64).view(_U))
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, parts: int = PARTS, differ: int = DIFFER, spare: float = SPARE) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs; component_id is the least id that links lead to.
+def _compared(units: DataFrame, keys: list[str], percent: int, unit: int) -> DataFrame:
+    """(a, b): links within each unit that keys name, of rows (node, elements, block, group, unit, other, *keys). Units are mostly small:
+    a task takes many of them, about unit shingles together."""
+    size = units.agg(F.sum("size")).first()[0] or 0
+    part = F.pmod(F.xxhash64(*keys), F.lit(1 + size // unit))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, elements, blocks, groups, crossed = pdf["node"].to_numpy(), pdf["elements"].to_numpy(), pdf["block"].to_numpy(), pdf["group"].to_numpy(), (pdf["unit"] != pdf["other"]).to_numpy()
+        found = []
+        for at in pdf.groupby(keys, sort=False).indices.values():
+            if len(at) > 1:
+                links = linked([np.asarray(elements[i]).view(_U) for i in at], groups[at].tolist(), percent, blocks[at] if crossed[at[0]] else None)
+                found += [(nodes[at[i]], nodes[at[j]]) for i, j in links]
+        if len(nodes) > 1_000:
+            trim()
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return table(units.groupBy(part.alias("part")).applyInPandas(compare, "a long, b long"), "links", small=True)
+
+
+def _groups(source: DataFrame, words: int, percent: int, unit: int, parts: int, differ: int, spare: float) -> DataFrame:
+    """(place, id, n, first) for each row of source (place, id, text): first is (none, id, place) of the least row of its group, by id, null last, then by place.
 
     1. One pass over the texts makes each set's size, fingerprint and signatures; equal sets become one class.
     2. Classes that share a signature are joined to the least of them: star edges, never the pairs within a group. Their
        components are the only places where links can be.
     3. The texts of these classes alone are read again and compared exactly, in units of bounded size: a component's classes are dealt to
-       blocks by hash, each compared within and with the component's first class; where that leaves more than one
-       group, across pairs of blocks as well. So a tight component costs time in proportion to its size.
+       blocks by hash, each compared within and with the component's first class. So a tight component costs time in proportion to its size.
+    4. Where that leaves a component in more than one group, its classes are compared once more by signature: those that share one,
+       and only where these are in more than one group. So what a loose component costs goes by what shares a signature, not by its square.
     """
-    spark = docs.sparkSession
+    spark = source.sparkSession
     bounded_batches(spark)
-    rows = own_columns(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    kind = rows.schema["id"].dataType
-    source = rows.select(_id_text(rows).alias("id"), F.xxhash64("text").alias("same"), "text")
-
+    kind = source.schema["id"].dataType
+    source = source.select("place.file", "place.at", "id", F.coalesce("text", F.lit("")).alias("text"))
     known = spark.sparkContext.broadcast(common_shingles(source, words))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,39 +247,39 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 sets = shingle_sets(part["text"].tolist(), words)
                 signs = signatures(sets, bands, known.value, parts, differ, spare)
                 yield pd.DataFrame({
-                    "id": part["id"], "same": part["same"], "n": [len(s) for s in sets],
+                    "file": part["file"], "at": part["at"], "id": part["id"], "n": [len(s) for s in sets],
                     "one": [_mixed(s, 3).sum(dtype=_U).astype(np.int64) for s in sets], "two": [_mixed(s, 5).sum(dtype=_U).astype(np.int64) for s in sets],
                     "bytes": part["text"].str.len(),
                     "many": [len(x) for x in signs], "signs": [in_slices(x) for x in signs],
                 })
         trim()
 
-    signed = source.mapInPandas(sign, "id string, same long, n int, one long, two long, bytes long, many long, signs array<array<long>>")
-    signed = table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")  # row is settled once written
+    signed = source.withColumn("id", _id_text()).mapInPandas(sign, "file long, at long, id string, n int, one long, two long, bytes long, many long, signs array<array<long>>")
+    signed = table(signed.withColumn("node", F.monotonically_increasing_id()), "signed")  # node is settled once written
     sets = ["n", "one", "two"]
-    least = F.min(F.nullif("id", F.lit("\x00")).cast(kind))
-    classes = table(signed.where("n > 0").groupBy(*sets).agg(F.min("row").alias("node"), least.alias("least")), "classes", small=True)
-    reps = classes.select(F.col("node").alias("row"))
+    own = F.nullif("id", F.lit("\x00")).cast(kind)
+    row = F.struct(own.isNull().alias("none"), own.alias("id"), F.struct("file", "at").alias("place"))
+    classes = table(signed.where("n > 0").groupBy(*sets).agg(F.min("node").alias("node"), F.min(row).alias("first")), "classes", small=True)
+    reps = classes.select("node")
     total = signed.agg(F.sum("many"), F.sum("bytes")).first()
     rounds = min(SLICES, max(1, -(-2 * SIGN_BYTES * (total[0] or 0) // max(1, total[1] or 1))))
     found = []
     for k in range(rounds):
-        own = F.flatten(F.array(*[F.get("signs", F.lit(i)) for i in range(k, SLICES, rounds)]))
-        signs = signed.select("row", own.alias("signs")).join(reps, "row", "left_semi").select("row", F.explode("signs").alias("sign"))
-        shared = signs.groupBy("sign").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi")
-        found.append(table(signs.join(shared, "sign").where("row <> lo").select(F.col("lo").alias("a"), F.col("row").alias("b")).distinct(), "edges", small=True))
+        some = F.flatten(F.array(*[F.get("signs", F.lit(i)) for i in range(k, SLICES, rounds)]))
+        signs = signed.select("node", some.alias("signs")).join(reps, "node", "left_semi").select("node", F.explode("signs").alias("sign"))
+        shared = signs.groupBy("sign").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+        found.append(table(signs.join(shared, "sign").where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), "edges", small=True))
     edges = reduce(DataFrame.union, found)
     clusters = components(edges).select(F.col("id").alias("node"), F.col("root").alias("cluster"))
-    members = table(clusters.join(signed.select(F.col("row").alias("node"), "id", "same", *sets), "node"), "members", small=True)
-    # blocks are dealt while rows are narrow: what carries elements is only ever shuffled by node, or by cluster and block
-    load = members.groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(unit)).cast("int").alias("blocks"))
+    members = table(clusters.join(signed.select("node", "file", "at", F.col("n").alias("size")), "node"), "members", small=True)
+    # blocks are dealt while rows are narrow: what carries elements is only ever shuffled by node, or by unit
+    load = members.groupBy("cluster").agg(F.ceil(F.sum("size") / F.lit(unit)).cast("int").alias("blocks"))
     members = members.join(load, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = table(members.select("node", "cluster", "blocks", "block", "id", "same"), "members", small=True)
+    members = table(members, "members", small=True)
 
     # texts of members: a filter of bounded size first, so that few others are shuffled
-    texts = likely(source, members, ["id", "same"]).dropDuplicates(["id", "same"])
-    deal = ["node", "cluster", "blocks", "block"]
-    to_read = texts.join(members, ["id", "same"]).select(*deal, "text")
+    deal = ["node", "size", "cluster", "blocks", "block"]
+    to_read = likely(source.select("file", "at", "text"), members, ["file", "at"]).join(members, ["file", "at"]).select(*deal, "text")
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -264,42 +288,47 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 yield part[deal].assign(elements=[s.view(np.int64) for s in shingle_sets(part["text"].tolist(), words)])
         trim()
 
-    held = table(to_read.mapInPandas(again, "node long, cluster long, blocks int, block int, elements array<long>"), "held")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = linked([np.asarray(x).view(_U) for x in pdf["elements"]], pdf["group"].tolist(), percent, pdf["block"].to_numpy() if (pdf["other"] != pdf["unit"]).any() else None)
-        node = pdf["node"].to_numpy()
-        if len(node) > 1_000:
-            trim()
-        return pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["a", "b"]).astype("int64")
-
-    columns = ["node", "elements", "block", "cluster"]
+    held = table(to_read.mapInPandas(again, "node long, size int, cluster long, blocks int, block int, elements array<long>"), "held")
+    columns = ["node", "size", "elements", "block"]
     where = F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    within = held.select(*columns, F.explode(where).alias("unit")).withColumn("other", F.col("unit")).withColumn("group", F.col("node"))
-    links = table(within.groupBy("cluster", "unit").applyInPandas(compare, "a long, b long"), "links", small=True)
+    within = held.select(*columns, "cluster", F.explode(where).alias("unit")).withColumn("other", F.col("unit")).withColumn("group", F.col("node"))
+    links = _compared(within, ["cluster", "unit"], percent, unit)
     if not members.where("blocks > 1").isEmpty():
         joined = components(links).select(F.col("id").alias("node"), F.col("root").alias("joined"))
-        state = held.where("blocks > 1").join(joined, "node", "left").withColumn("group", F.coalesce("joined", "node")).drop("joined")
-        loose = state.groupBy("cluster", "blocks").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y")
-        loose = loose.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))).alias("with")
-        across = state.join(loose, ["cluster", "block"], "left_semi").select(*columns, "group", others)
-        across = across.withColumn("unit", F.least("block", "with")).withColumn("other", F.greatest("block", "with"))
-        links = links.union(table(across.groupBy("cluster", "unit", "other").applyInPandas(compare, "a long, b long"), "links", small=True))
+        state = members.where("blocks > 1").select("node", "size", "cluster").join(joined, "node", "left").withColumn("group", F.coalesce("joined", "node")).drop("joined")
+        loose = state.groupBy("cluster").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select("cluster")
+        state = table(state.join(loose, "cluster", "left_semi").select("node", "size", "group"), "loose", small=True)
+        signs = signed.select("node", F.flatten("signs").alias("signs")).join(state, "node").select("node", "size", "group", F.explode("signs").alias("sign"))
+        one, two = F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))
+        lists = signs.groupBy("sign").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("n"), one.alias("one"), two.alias("two"), F.sum("size").alias("load")).where("x < y")
+        # signatures of the same classes are one list
+        lists = lists.groupBy("n", "one", "two").agg(F.min("sign").alias("sign"), F.min("load").alias("load")).select("sign", F.ceil(F.col("load") / F.lit(unit)).cast("int").alias("blocks"))
+        met = signs.join(lists, "sign").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = table(met.select("node", "size", "group", "sign", "block", F.least("block", "with").alias("unit"), F.greatest("block", "with").alias("other")), "met", small=True)
+        across = met.join(held.select("node", "elements"), "node")
+        links = links.union(_compared(across, ["sign", "unit", "other"], percent, unit))
     found = components(links).select(F.col("id").alias("node"), "root")
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes_named = named.join(roots, "root").select(*sets, "component_id")
-    own = F.nullif("id", F.lit("\x00")).cast(kind)
-    out = signed.select("id", *sets).join(classes_named, sets, "left")
-    return out.select(own.alias("id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
+    firsts = named.groupBy("root").agg(F.min("first").alias("first"))
+    named = named.drop("first").join(firsts, "root").select(*sets, "first")
+    return signed.select(F.struct("file", "at").alias("place"), own.alias("id"), *sets).join(named, sets, "left").select("place", "id", "n", "first")
 
 
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of similar texts, that of the least id. Ids are taken as unique; null ids stay."""
-    found = similar_groups(docs, id_col=id_col, text_col=text_col, **options)
-    dropped = found.where("id <> component_id").select(F.col("id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, parts: int = PARTS, differ: int = DIFFER, spare: float = SPARE) -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs; component_id is the least id that links lead to."""
+    docs = settled(docs)
+    found = _groups(docs.select(place(docs).alias("place"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), words, percent, unit, parts, differ, spare)
+    return found.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", unit: int = UNIT, parts: int = PARTS, differ: int = DIFFER, spare: float = SPARE) -> DataFrame:
+    """docs with one row of each group of similar texts: that of the least id, a null id last; of rows that share this id, the first by place. Texts without words stay."""
+    rows = by_place(docs)
+    at = lambda c: F.col(f"c{docs.columns.index(c)}")
+    found = _groups(rows.select(F.col("_place").alias("place"), at(id_col).alias("id"), at(text_col).alias("text")), words, percent, unit, parts, differ, spare)
+    dropped = table(found.where((F.col("n") > 0) & (F.col("place") != F.col("first.place"))).select(F.col("place").alias("_place")), "dropped", small=True)
+    return named_back(without(rows, "_place", dropped), docs)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, own_columns, running_total, table, uniform_key
+from .common import SPACE, WORD, by_place, named_back, own_columns, running_total, table, uniform_key
 
 #: Fixed value: the sources' weights in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -72,24 +72,22 @@ def _placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
     return placed.select("id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *kept)
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs that mix takes, as often as it takes them, with the last copy cut after the last word that is taken.
 
-    A document of no words is in no budget; it is left out, as it has nothing to give. Rows are taken by a number of their own in a
-    written table, so that null and repeated ids are rows like others. Columns of docs whose names begin with _mix are not expected.
+    A document of no words is in no budget; it is left out, as it has nothing to give. Rows are told apart by where they stand in their
+    files, so that null and repeated ids are rows like others. Further columns of any name pass through.
     """
-    names = {k: options.pop(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
-    text_col = names["text_col"]
-    docs = table(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix_rows")
-    placed = _placed(own_columns(docs, id=names["id_col"], text=text_col, source=names["source_col"], _mix_row="_mix_row"), kept=("_mix_row",), **options)
-    chosen = placed.where("taken > 0").select("_mix_row", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    columns = [c for c in docs.columns if c != "_mix_row"]
-    out = docs.join(chosen, "_mix_row")
-    words = F.transform(F.sequence(F.lit(1), F.ceil(F.col("_mix_taken") / F.col("_mix_size")).cast("int")), lambda i: F.least("_mix_size", F.col("_mix_taken") - (i - 1) * F.col("_mix_size")))
-    out = out.withColumn("_mix_words", F.explode(words))
+    rows = by_place(docs)
+    doc_id, text, source = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col, source_col))
+    placed = _placed(rows.select(doc_id.alias("id"), text.alias("text"), source.alias("source"), "_place"), weights, epochs, seed, kept=("_place",))
+    chosen = placed.where("taken > 0").select("_place", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    words = F.transform(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int")), lambda i: F.least("_size", F.col("_taken") - (i - 1) * F.col("_size")))
+    out = rows.join(chosen, "_place").withColumn("_words", F.explode(words))
     # a word with the white space before it, so many times: what is kept stays as it was
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(rf"{SPACE}*+{WORD}"), F.lit(0)), F.lit(1), F.col("_mix_words").cast("int")), "")
-    return out.withColumn(text_col, F.when(F.col("_mix_words") < F.col("_mix_size"), cut).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in columns])
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"{SPACE}*+{WORD}"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    name = f"c{docs.columns.index(text_col)}"
+    return named_back(out.withColumn(name, F.when(F.col("_words") < F.col("_size"), cut).otherwise(text)), docs)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -82,3 +82,25 @@ def jaccard_components(docs: list[tuple[int, str | None]], n: int = 3, percent:
                 links.append((a, b))
     roots = closure(ids, links)
     return {i: (len(sets[i]), roots[i]) for i in ids}
+
+
+def by_id(i):
+    return (i is None, i or 0)
+
+
+def first_copies(rows: list[tuple]) -> list[tuple]:
+    """(id, normalised text) of one row of each text, that of the least id, null last."""
+    first = {}
+    for i, t in rows:
+        t = normalised(t)
+        first[t] = min(first.get(t, i), i, key=by_id)
+    return sorted(((i, t) for t, i in first.items()), key=repr)
+
+
+def first_of_groups(rows: list[tuple], n: int, percent: int) -> list[tuple]:
+    """(id, text) of one row of each group of similar texts, that of the least id, null last, and of all rows without words."""
+    roots = jaccard_components([(k, t) for k, (_, t) in enumerate(rows)], n, percent)
+    groups: dict = {}
+    for k, (size, root) in roots.items():
+        groups.setdefault(root if size else -1 - k, []).append(rows[k])
+    return sorted((min(g, key=lambda r: by_id(r[0])) for g in groups.values()), key=repr)

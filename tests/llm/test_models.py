@@ -10,11 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import embedding_dedup, jaccard, language, packing, quality, toxicity
+from millrace.llm import common, embedding_dedup, jaccard, language, mixing, packing, quality, toxicity
+from millrace.llm.common import table
 from millrace.llm.queries import QUERIES
 
 from . import brute
 from .conftest import WORDS, prose
+from .test_native import water_level
 
 # --- packing -------------------------------------------------------------------
 
@@ -143,6 +145,19 @@ def test_similar_groups_equals_brute_force_on_the_table(spark, sf_dir):
         assert {r.id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, words, percent).collect()} == want
 
 
+def test_a_chain_of_loose_near_copies_costs_what_shares_a_signature(spark, monkeypatch):
+    """Each text is similar to its neighbours alone: one component, exact. Twice the chain is compared in twice the rows, not four times."""
+    words = [f"w{i}" for i in range(4_000)]
+    compared, own = [], jaccard._compared
+    monkeypatch.setattr(jaccard, "_compared", lambda units, *rest: compared.append(units.count()) or own(units, *rest))
+    for n in (300, 600):
+        rows = [(k, " ".join(words[2 * k:2 * k + 60])) for k in range(n)]
+        got = {r.id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), unit=1_000).collect()}
+        assert set(got.values()) == {0}
+    within, across, within2, across2 = compared
+    assert within2 <= 2.2 * within and across2 <= 2.3 * across
+
+
 def test_similar_groups_empty(empty):
     assert jaccard.similar_groups(empty).count() == 0
 
@@ -354,11 +369,39 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert_packs(corpus_pipeline.pack_sequences(spark, mixed, sf_dir).withColumnRenamed("doc_id", "id").collect(), texts, 1024)
 
 
-def test_pipeline_on_hostile_rows(spark, hostile):
-    docs = hostile.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, "")
-    assert docs.count() > 0
+def test_pipeline_on_hostile_rows(spark, hostile_rows):
+    """Stage by stage on rows with null ids, ids that repeat with other texts and repeated rows: exact in content, count and budget."""
+    short = [r for r in hostile_rows if len(r[1] or "") < 50_000]
+    extra = [(5, "alpha beta one text alone", "en", "s1"), (5, "another text of its own", "en", "s2"), (None, "no id and a text of its own", "en", "s1"), (None, "no id and a text of its own", "en", "s1")]
+    rows = [(r[0], r[1], r[2], r[3], 1, "x", 2) for r in short] + [(*r, 1, "x", 2) for r in extra]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _mix_row string, _place int").repartition(3)
+    columns = docs.columns
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    want = [(r[0], r[1]) for r in rows if any(c.isalpha() for c in r[1] or "")]
+    docs = table(corpus_pipeline.identify_language(spark, docs, ""), "one")
+    assert pairs(docs) == sorted(want, key=repr) and docs.columns == columns
+    docs = table(corpus_pipeline.drop_copies(spark, docs, ""), "two")
+    assert sorted(((i, brute.normalised(t)) for i, t in pairs(docs)), key=repr) == brute.first_copies(want) and docs.columns == columns
+    want = pairs(docs)
+    docs = table(corpus_pipeline.drop_near_copies(spark, docs, ""), "three")
+    assert [i for i, _ in pairs(docs)] == [i for i, _ in brute.first_of_groups(want, 5, 80)] and set(pairs(docs)) <= set(want) and docs.columns == columns
+    words = lambda t: len(t.encode().split())
+    sizes, taken = {}, {}
+    for r in docs.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + words(r.text)
+    docs = table(corpus_pipeline.mix_sources(spark, docs, ""), "four")
+    for r in docs.collect():
+        taken[r.source] = taken.get(r.source, 0) + words(r.text)
+    goal = water_level(sizes, mixing.WEIGHTS, mixing.EPOCHS)
+    assert {s: int(g) for s, g in goal.items() if g >= 1} == taken and docs.columns == columns
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    assert_packs(corpus_pipeline.pack_sequences(spark, docs, "").withColumnRenamed("doc_id", "id").collect(), texts, 1024)
+
+
+def test_pipeline_deletes_its_scratch(spark, sf_dir, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert len([p for p in tmp_path.rglob("*") if p.is_dir() and any(p.glob("*.parquet"))]) == 1
 
 
 def test_pipeline_on_an_empty_table(spark, empty):

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, line_dedup, mixing, pii
+from millrace.llm import common, exact_dedup, line_dedup, mixing, pii
 from millrace.llm.common import components, running_total
 from millrace.llm.queries import ORACLE_SQL, QUERIES
 
@@ -20,26 +20,44 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert spark_rows(QUERIES[name](spark, sf_dir)) == oracle(sf_dir, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("digests", [True, False])
-def test_exact_dedup_on_hostile_rows(hostile, hostile_rows, digests):
-    found = exact_dedup.exact_dedup(hostile, digests=digests)
+def test_exact_dedup_on_hostile_rows(hostile, hostile_rows):
+    found = exact_dedup.exact_dedup(hostile).collect()
     groups = {}
     for row in hostile_rows:
         groups.setdefault(brute.normalised(row[1]), []).append(row[0])
-    want = sorted(((i, min((j for j in ids if j is not None), default=None) if len(ids) > 1 else i, len(ids)) for ids in groups.values() for i in ids), key=repr)
-    got = sorted(((r.id, r.keep_id, r.group_size) for r in found.collect()), key=repr)
-    if digests:
-        assert got == want
-        assert {r.digest for r in found.collect()} == {brute.sha(t) for t in groups}
-    else:  # rows that share an id are told apart by length alone here
-        assert {x for x in got if x[0] is not None} == {x for x in want if x[0] is not None}
+    want = sorted(((i, min((j for j in ids if j is not None), default=None) if len(ids) > 1 else i, len(ids), brute.sha(t)) for t, ids in groups.items() for i in ids), key=repr)
+    assert sorted(((r.id, r.keep_id, r.group_size, r.digest) for r in found), key=repr) == want
 
 
-def test_first_copies_keeps_columns_and_singles(hostile):
+def test_first_copies_keeps_one_row_of_each_text(hostile, hostile_rows):
+    """Exact in content and count, with null ids, ids that repeat with the same and with other texts, and repeated rows."""
     kept = exact_dedup.first_copies(hostile)
     assert kept.columns == hostile.columns
-    assert kept.where("doc_id is not null").select("text").distinct().count() <= hostile.select("text").distinct().count()
-    assert exact_dedup.exact_dedup(kept).where("id <> keep_id").count() == 0
+    assert sorted(((r[0], brute.normalised(r[1])) for r in kept.collect()), key=repr) == brute.first_copies([(r[0], r[1]) for r in hostile_rows])
+
+
+ODD = [(1, "A a"), (5, "A a"), (5, "unique"), (7, "B"), (7, "B"), (None, "C"), (None, "A  a"), (None, None), (9, ""), (9, "B"), (None, "C")]
+
+
+def test_first_copies_tells_rows_apart_by_place(spark, tmp_path):
+    clash = "doc_id long, text string, _place string, c0 int, _taken int, id int, length int, prefix int"
+    rows = [(*r, "p", 1, 2, 3, 4, 5) for r in ODD]
+    df = spark.createDataFrame(rows, clash).repartition(4)
+    df.write.parquet(f"{tmp_path}/docs")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/docs")):
+        kept = exact_dedup.first_copies(docs)
+        assert kept.columns == df.columns and {tuple(r)[2:] for r in kept.collect()} == {("p", 1, 2, 3, 4, 5)}
+        assert sorted(((r[0], brute.normalised(r[1])) for r in kept.collect()), key=repr) == brute.first_copies(ODD)
+
+
+def test_without_is_exact_beyond_a_broadcast(spark):
+    df, gone = spark.range(5000), common.table(spark.range(0, 5000, 7), "gone")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert {r.id for r in common.without(df, "id", gone).collect()} == {i for i in range(5000) if i % 7}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_running_total_is_a_prefix_sum(spark):
@@ -61,6 +79,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_large_ids(spark):
+    """Ids as thousands of partitions give them: their sum is beyond a long."""
+    base, r = (1 << 63) - (1 << 40), random.Random(8)
+    edges = [(base + r.randrange(12_000), base + r.randrange(12_000)) for _ in range(10_000)]
+    got = {x.id: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = brute.closure({i for e in edges for i in e}, edges)
+    assert got == {i: want[i] for a, b in edges if a != b for i in (a, b)}
+
+
 def water_level(totals, weights, epochs):
     """Sharing by weight, capping and resharing, as stated."""
     names = sorted(totals, key=lambda s: (s is None, s or ""))
@@ -94,7 +121,7 @@ def test_mix_on_hostile_rows(hostile, hostile_rows):
 
 
 def test_mixed_takes_what_the_mix_says(hostile):
-    single = hostile.where("doc_id is not null").dropDuplicates(["doc_id"])
+    single = hostile.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumnsRenamed({"key": "_mix_row", "group": "_place", "node": "_words", "id": "_size"})
     out = mixing.mixed(single)
     assert out.columns == single.columns
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
@@ -171,7 +198,7 @@ def test_terms_disclose_an_entity_wherever_they_stand(spark):
 
 
 def test_native_operators_on_empty_tables(empty):
-    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.exact_dedup(empty, digests=True).count() == 0
+    assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.first_copies(empty).count() == 0
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0 and pii.pii_spans(empty).count() == 0
 
 

@@ -16,87 +16,129 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc_mod, own_columns, trim
 
-#: The model's bounds: characters of labelled text that each language is learned from, and how much of one text at most.
-TRAIN_CHARS, TRAIN_TEXT_CHARS = 40_000, 4_000
-#: Texts are parsed whole, in segments of so many characters, side by side; a phrase ends with its segment.
-SEGMENT = 2_048
-#: Segments that are parsed side by side.
-LANES = 16_384
+#: The model's bound: labelled rows that each language is learned from, of so many characters at most each, and so many together. Rows are taken whole or not at all.
+TRAIN_ROWS, TRAIN_TEXT_CHARS, TRAIN_CHARS = 60, 20_000, 80_000
+#: Texts are parsed whole. Their segments of so many letters are parsed side by side, then joined where the parse of one runs into the next.
+SEGMENT = 256
+#: Letters of a language, the commonest first, whose transitions stand in a table of all states; those of further letters are searched for.
+DENSE = 48
 #: Texts at a time.
 BATCH = 600
 UNDEFINED = "und"
 
 
-def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
-    """Transitions [state, letter] of the suffix automaton of codes: -1 where no substring goes on."""
-    size = 2 * len(codes) + 2
-    step = np.full((size, letters), -1, dtype=np.int32)
-    link, length = [-1] * size, [0] * size
-    states, last = 1, 0
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """For each state of the suffix automaton of codes its transitions, letter -> state; state 0 is the start."""
+    step: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for c in codes:
-        new = states
-        states += 1
-        length[new] = length[last] + 1
+        new = len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p != -1 and step[p, c] < 0:
-            step[p, c] = new
+        while p != -1 and c not in step[p]:
+            step[p][c] = new
             p = link[p]
-        if p == -1:
-            link[new] = 0
-        elif length[q := int(step[p, c])] == length[p] + 1:
+        if p != -1:
+            q = step[p][c]
+            if length[q] != length[p] + 1:
+                twin = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p != -1 and step[p].get(c) == q:
+                    step[p][c] = twin
+                    p = link[p]
+                link[q] = twin
+                q = twin
             link[new] = q
-        else:
-            twin = states
-            states += 1
-            step[twin], link[twin], length[twin] = step[q], link[q], length[p] + 1
-            while p != -1 and step[p, c] == q:
-                step[p, c] = twin
-                p = link[p]
-            link[q] = link[new] = twin
         last = new
-    return step[:states]
+    return step
+
+
+class Automaton:
+    """Transitions of one language over letters of its own: 0 is what no letter is, 1 a letter it has not learned, others go by frequency.
+
+    A place in a parse is a state times the table's width, doubled; the low bit says that the letter that led there began a phrase.
+    What is handed to tasks is the edges, in proportion to the learned text; the table is made of them there.
+    """
+
+    def __init__(self, codes: np.ndarray, letters: int):
+        found, counts = np.unique(codes[codes > 1], return_counts=True)
+        order = found[np.argsort(-counts, kind="stable")]
+        self.own = np.ones(letters, dtype=np.int32)  # the common alphabet's letters in this language's
+        self.own[0] = 0
+        self.own[order] = np.arange(2, 2 + len(order))
+        self.size = max(2, len(codes))
+        step = suffix_automaton(self.own[codes].tolist())
+        self.states = len(step)
+        edges = np.array([(p, c, q) for p, ways in enumerate(step) for c, q in sorted(ways.items())], dtype=np.int32).reshape(-1, 3)
+        self.edges = edges
+        self._compile()
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("own", "size", "states", "edges")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._compile()
+
+    def _compile(self) -> None:
+        letters = int(self.own.max(initial=1)) + 1
+        self.width = w = min(letters, DENSE)
+        kind = np.int32 if (self.states + 1) * w * 2 < 1 << 31 else np.int64
+        p, c, q = self.edges.T
+        # one more state in which any letter begins a phrase: the start, and where a letter that is not learned has been a phrase
+        self.start = kind(self.states * w * 2)
+        self.first = np.full(letters, self.start + 1, dtype=kind)
+        root = p == 0
+        self.first[c[root]] = q[root].astype(kind) * w * 2 + 1
+        table = np.tile(self.first[:w], (self.states + 1, 1))
+        near = c < w
+        table[p[near], c[near]] = q[near].astype(kind) * w * 2
+        self.table = table.ravel()
+        self.far_keys = p[~near].astype(np.int64) * letters + c[~near]  # in rising order, as edges are
+        self.far_next = q[~near].astype(kind) * w * 2
+        self.letters = letters
+
+    def step(self, at: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Places after one letter more, of this language's alphabet."""
+        if self.letters == self.width or not (far := letter >= self.width).any():
+            return self.table.take((at >> 1) + letter)
+        out = self.table.take((at >> 1) + np.where(far, 1, letter))
+        some, state = letter[far], at[far] // (2 * self.width)
+        key = state.astype(np.int64) * self.letters + some
+        place = np.minimum(np.searchsorted(self.far_keys, key), len(self.far_keys) - 1)
+        out[far] = np.where(self.far_keys[place] == key, self.far_next[place], self.first[some])
+        return out
 
 
 class CrossParser:
-    """One automaton a language over a common alphabet. Letter 0: what no letter is, runs of it as one; letter 1: letters that none has learned."""
+    """One automaton a language. The common alphabet: 0 is what no letter is, runs of it as one; 1: letters that no language has learned."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         folded = {k: self.fold(v) for k, v in texts.items()}
         known = sorted({c for v in folded.values() for c in v if c.isalpha()})
-        self.code = np.zeros(0x110000, dtype=np.uint16)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                self.code[c] = 1
-        for i, c in enumerate(known):
-            self.code[ord(c)] = 2 + i
-        self.letters = 2 + len(known)
-        self.sizes, self.tables, self.starts = [], [], []
-        for language in self.languages:
-            codes = self.encode(folded[language])
-            step = suffix_automaton(codes.tolist(), self.letters)
-            # a last state in which any letter begins a phrase: the start, and where a letter that is not learned has been a phrase
-            start = len(step)
-            first = np.where(step[0] >= 0, step[0], start).astype(np.int64) * self.letters * 2 + 1
-            # next state times letters, doubled; the low bit marks that this letter begins a phrase
-            table = np.where(step >= 0, step.astype(np.int64) * self.letters * 2, first)
-            table = np.concatenate([table, first[None, :]])
-            self.starts.append(start * self.letters * 2)
-            self.tables.append(table.astype(np.int32).ravel())
-            self.sizes.append(max(2, len(codes)))
+        self.code = np.zeros(0x110000, dtype=np.int32)
+        self.code[[c for c in range(0x110000) if chr(c).isalpha()]] = 1
+        self.code[[ord(c) for c in known]] = np.arange(2, 2 + len(known))
+        self.automata = [Automaton(self.encode(folded[language]), 2 + len(known)) for language in self.languages]
+        self.sizes = [a.size for a in self.automata]
 
     @staticmethod
     def fold(text: str) -> str:
         return unicodedata.normalize("NFC", text).lower()
 
     def encode(self, folded: str) -> np.ndarray:
-        codes = self.code[np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int32)
+        codes = self.code[np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         keep = codes > 0
         keep[1:] |= codes[:-1] > 0
         return codes[keep]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text its letters, and the phrases of its parse by each language [text, language]."""
+        """For each text its letters, and the phrases of its parse by each language [text, language], greedy from the first letter to the last."""
         coded = [self.encode(self.fold(t)) for t in texts]
         sizes = np.array([len(c) for c in coded], dtype=np.int64)
         letters = np.array([np.count_nonzero(c) for c in coded], dtype=np.int64)
@@ -107,23 +149,54 @@ class CrossParser:
             return letters, counts
         flat = np.concatenate(coded)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        start = np.repeat(np.cumsum(sizes) - sizes, lanes) + number * SEGMENT
+        begin = np.repeat(np.cumsum(sizes) - sizes, lanes) + number * SEGMENT
         width = np.minimum(SEGMENT, sizes[owner] - number * SEGMENT)
         order = np.argsort(-width, kind="stable")
-        for at in range(0, len(order), LANES):
-            part = order[at:at + LANES]
-            w, begin = width[part], start[part]
-            alive = np.searchsorted(-w, -np.arange(int(w[0])), side="left")  # lanes longer than each step
-            grid = [flat[begin[:n] + i] for i, n in enumerate(alive)]
-            for k, table in enumerate(self.tables):
-                state = np.full(len(part), self.starts[k], dtype=np.int32)
-                ended = np.zeros(len(part), dtype=np.int32)
-                for letter, n in zip(grid, alive, strict=True):
-                    state[:n] = table.take((state[:n] >> 1) + letter)
-                    ended[:n] += state[:n] & 1
-                np.add.at(counts[:, k], owner[part], ended)
+        alive = np.searchsorted(-width[order], -np.arange(int(width.max())), side="left")  # lanes longer than each step
+        full = np.flatnonzero(sizes)
+        starts = (np.cumsum(sizes) - sizes)[full]
+        for k, automaton in enumerate(self.automata):
+            own = automaton.own[flat]
+            begins = np.zeros(len(flat), dtype=np.int8)
+            place = np.full(len(owner), automaton.start)
+            from_ = begin[order]
+            for i, n in enumerate(alive):
+                at = from_[:n] + i
+                place[:n] = automaton.step(place[:n], own[at])
+                begins[at] = place[:n] & 1
+            end = np.empty_like(place)
+            end[order] = place
+            self._join(automaton, own, begins, end, begin, width, number)
+            counts[full, k] = np.add.reduceat(begins, starts, dtype=np.int64)
         return letters, counts
 
+    @staticmethod
+    def _join(automaton: Automaton, own: np.ndarray, begins: np.ndarray, end: np.ndarray, begin: np.ndarray, width: np.ndarray, number: np.ndarray) -> None:
+        """Corrects begins where a parse runs from a segment into the next: from where both begin a phrase at the same letter on they are the same.
+
+        A segment without such a letter ends elsewhere than it was thought to, and the one after it is looked at again.
+        """
+        last = np.append(number[1:] == 0, True)
+        pending = np.flatnonzero(number > 0)
+        while len(pending):
+            lane, place, changed = pending, end[pending - 1], []
+            for i in range(SEGMENT):
+                at = begin[lane] + i
+                place = automaton.step(place, own[at])
+                flag = (place & 1).astype(np.int8)
+                met = (flag & begins[at]) == 1
+                begins[at] = flag
+                over = ~met & (width[lane] == i + 1)
+                moved = over & (end[lane] != place)
+                end[lane[moved]] = place[moved]
+                changed.append(lane[moved])
+                open_ = ~met & ~over
+                lane, place = lane[open_], place[open_]
+                if not len(lane):
+                    break
+            changed = np.concatenate(changed)
+            pending = changed[~last[changed]] + 1
+
     def judge(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score of each text. Normalised phrases: count times log2 of the learned text's length, over the text's length: bits a letter."""
         if not self.languages:
@@ -136,25 +209,29 @@ class CrossParser:
         return [self.languages[b] if n else UNDEFINED for b, n in zip(best, letters, strict=True)], np.where(letters > 0, score, 0.0).tolist()
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, train_chars: int = TRAIN_CHARS) -> CrossParser:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, rows: int = TRAIN_ROWS) -> CrossParser:
     """A parser learned from rows with a language and crc32(id) mod folds other than held_out.
 
-    The sample is bounded: TRAIN_TEXT_CHARS of each chosen text, train_chars a language. The rows of each language are counted
-    first; then a hash chooses the share that makes a few times the texts needed, so that few reach the driver whatever the size. No text is shuffled.
+    The sample is bounded: rows a language, chosen by a hash among those of at most TRAIN_TEXT_CHARS, as long as they make up at most TRAIN_CHARS
+    together; each is taken whole. A language that has longer ones alone is learned from its shortest. The rows of each language are
+    counted first; then a hash chooses a share that makes about twice the rows, so that few reach the driver whatever the size. No text is shuffled.
     """
-    rows = own_columns(docs, id=id_col, text=text_col, lang=lang_col).where(
+    known = own_columns(docs, id=id_col, text=text_col, lang=lang_col).where(
         F.col("lang").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}")) & (crc_mod("id", folds) != held_out))
-    wanted = 4 * (10.0 + 3 * train_chars / TRAIN_TEXT_CHARS)
-    counts = rows.groupBy("lang").count().collect()  # a row a language, each of which becomes an automaton
-    share = F.lit(0.0)
+    known = known.select("lang", "text", F.length("text").alias("size"), F.xxhash64("id", "text").alias("key"))
+    fits = F.col("size") <= TRAIN_TEXT_CHARS
+    counts = known.groupBy("lang").agg(F.count_if(fits).alias("n"), F.min(F.struct("size", "key")).alias("least")).collect()  # a row a language, each of which becomes an automaton
+    wanted = F.lit(False)
     for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, wanted / r["count"])).otherwise(share)
-    key = F.xxhash64("id", "text")
-    chosen = rows.where(F.pmod(key, F.lit(1 << 30)) < share * (1 << 30)).select("lang", key.alias("key"), F.left("text", F.lit(TRAIN_TEXT_CHARS)).alias("part"))
-    texts: dict[str, list[str]] = {}
-    for row in chosen.orderBy("lang", "key").collect():
-        texts.setdefault(row["lang"], []).append(row["part"])
-    return CrossParser({lang: " ".join(parts)[:train_chars] for lang, parts in texts.items()})
+        few = fits & (F.pmod("key", F.lit(1 << 30)) < int(min(1.0, (2.0 * rows + 20) / max(1, r["n"])) * (1 << 30)))
+        shortest = (F.col("size") == r["least"]["size"]) & (F.col("key") == r["least"]["key"])
+        wanted = F.when(F.col("lang") == r["lang"], few if r["n"] else shortest).otherwise(wanted)
+    taken: dict[str, list[str]] = {}
+    for row in known.where(wanted).select("lang", "key", "text").distinct().orderBy("lang", "key").collect():
+        texts = taken.setdefault(row["lang"], [])
+        if not texts or (len(texts) < rows and sum(map(len, texts)) + len(row["text"]) <= TRAIN_CHARS):
+            texts.append(row["text"])
+    return CrossParser({lang: " ".join(texts) for lang, texts in taken.items()})
 
 
 def judged(docs: DataFrame, parser: CrossParser, text_col: str = "text") -> DataFrame:

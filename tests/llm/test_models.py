@@ -202,13 +202,13 @@ def test_near_groups_empty(spark):
 def test_suffix_automaton_knows_all_substrings():
     r = random.Random(1)
     codes = [r.randrange(3) for _ in range(60)]
-    step = language.suffix_automaton(codes, 3)
+    step = language.suffix_automaton(codes)
 
     def known(s):
         state = 0
         for c in s:
-            state = step[state, c]
-            if state < 0:
+            state = step[state].get(c)
+            if state is None:
                 return False
         return True
 
@@ -239,11 +239,45 @@ def test_phrases_equal_greedy_parsing():
         assert got.tolist() == [greedy(codes, parser.encode(parser.fold(learned[k])).tolist()) if codes else 0 for k in ("x", "y")]
 
 
-def test_long_texts_are_parsed_whole_in_segments():
+def test_long_texts_are_parsed_whole(monkeypatch):
+    """The greedy parse of the whole text, whatever the segments: also where one phrase runs through many of them, and with letters beyond the table."""
     r = random.Random(3)
-    parser = language.CrossParser({"x": prose(r, 200, WORDS[:9]), "y": prose(r, 200, WORDS[9:])})
-    text = prose(r, 3, WORDS[:9]) + " " + prose(r, 3000, WORDS[9:])
-    assert parser.judge([text, prose(r, 3000, WORDS[:9])])[0] == ["y", "x"]
+    monkeypatch.setattr(language, "SEGMENT", 16)
+    monkeypatch.setattr(language, "DENSE", 6)
+    learned = {"x": prose(r, 200, WORDS[:9]), "y": prose(r, 200, WORDS[9:]) + "漢字かな" * 9}
+    parser = language.CrossParser(learned)
+    texts = [prose(r, 3, WORDS[:9]) + " " + prose(r, 400, WORDS[9:]), learned["x"], learned["y"][100:] + learned["x"][:300], "字かな漢" * 40 + "漢漢", prose(r, 300, WORDS[:9]), "Ω" * 100, learned["x"][7:] * 2]
+    _, counts = parser.phrases(texts)
+    for t, got in zip(texts, counts, strict=True):
+        codes = parser.encode(parser.fold(t)).tolist()
+        assert got.tolist() == [greedy(codes, parser.encode(parser.fold(learned[k])).tolist()) for k in ("x", "y")]
+    assert counts[1][0] == 1 and counts[2][1] > 1
+    assert parser.judge([texts[0], texts[4]])[0] == ["y", "x"]
+
+
+def test_parsers_of_many_letters_stay_small():
+    import pickle
+    import tracemalloc
+
+    r = random.Random(4)
+    texts = {f"l{k}": "".join(chr(0x4E00 + r.randrange(15_000)) for _ in range(12_000)) for k in range(10)}
+    tracemalloc.start()
+    parser = language.CrossParser(texts)
+    sent = pickle.dumps(parser)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20 and len(sent) < 40 << 20
+    assert pickle.loads(sent).judge([texts["l3"][500:900], texts["l7"][-50:]])[0] == ["l3", "l7"]
+
+
+def test_sample_takes_rows_whole(spark):
+    """By hash among the rows that fit; a language with longer ones alone is learned from its shortest."""
+    rows = [(i, "kurz " * (i % 7 + 1), "a") for i in range(500)] + [(1000 + i, "lang" * (6_000 + i), "b") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = language.learn(docs, rows=10)
+    learnable = {i for i, _, _ in rows if brute.crc_mod(i, 4) != 2}
+    assert parser.languages == ["a", "b"] and parser.sizes[1] == min(len(t) for i, t, lang in rows if lang == "b" and i in learnable)
+    assert parser.judge(["kurz kurz", "langlang"])[0] == ["a", "b"]
 
 
 def test_language_on_hostile_rows(hostile, hostile_rows, empty):

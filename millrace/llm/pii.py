@@ -1,7 +1,8 @@
 """PII: patterns, and terms whose co-occurrence with an entity discloses it. DataFrame functions only.
 
 Null text counts as empty and has no spans. Rows that repeat an id are documents of their own. An empty table gives an
-empty result. Very long texts are scanned whole: the patterns take time linear in the text.
+empty result. Very long texts are scanned whole: the patterns take time linear in the text; masking, contexts and sanitised texts take a
+substring for each span, so time that goes with the length times the spans.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, table
+from .common import likely, place, settled, table
 
 #: Kinds in their order, and patterns. The patterns match the same as the plain ones of the
 #: contract; possessive quantifiers and looking behind only spare them retries and deep recursion.
@@ -20,13 +21,14 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}[\p{L}\p{N}]*+"
 
-#: Terms meet an entity by document. What tells an entity's mentions apart, so that copies of a passage are known as one context, is
-#: the text around it: so many characters before and after; the nearest so many words either side meet each mention of its own.
-CONTEXT_WORDS, CONTEXT_CHARS = 4, 80
-#: Different contexts in which a term and an entity must have met: fewer are no estimate.
-LEAST_CONTEXTS = 3
-#: Share of the entity's information that the term must disclose.
-THRESHOLD = 0.8
+#: What a term can reveal: the kind of a span, its group (an address's domain, an ip's first two parts, the first digits of a card or phone), and the
+#: very entity. Digits that make a group:
+CARD_GROUP, PHONE_GROUP = 6, 4
+#: Words to either side of a mention that are its context: copies of a passage are one context, however many documents have it.
+CONTEXT_WORDS = 4
+CONTEXT = r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,%d}+" % CONTEXT_WORDS
+#: Share of a class's information that a term must disclose.
+THRESHOLD = 0.5
 #: Parts of a text that positions takes at a time.
 BLOCK = 512
 
@@ -116,11 +118,25 @@ def masked(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
+def classes_of(span: Column) -> Column:
+    """Names of what a term near the span could reveal: its kind, its group, and the entity itself."""
+    kind, value, number = span["kind"], F.lower(span["value"]), digits(span["value"])
+    group = F.when(kind == 0, F.substring_index(value, "@", -1)).when(kind == 1, F.substring_index(value, ".", 2)).when(kind == 2, F.left(number, F.lit(CARD_GROUP))).otherwise(F.left(number, F.lit(PHONE_GROUP)))
+    entity = F.when(kind <= 1, value).otherwise(number)
+    return F.array(kind.cast("string"), F.concat(kind.cast("string"), F.lit("|"), group), F.concat(kind.cast("string"), F.lit(":"), entity))
+
+
+def terms_of(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(matches(text, TERM), F.lower))
+
+
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, base: array of (start, kind, end, value), masked: the text without base where there are any, near: array of (entity, context, terms), one for each of base."""
+    """row, id, base: array of (start, kind, end, value); and of texts with any: masked, the text without base, words, its terms, and met, array of (class, context), one for each class of base, by its first mention."""
     text = F.col("text")
-    d = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    d = d.withColumn("row", F.monotonically_increasing_id()).withColumn("m", base_spans(text))
+    docs = settled(docs)
+    d = docs.select(place(docs).alias("row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    d = d.withColumn("m", base_spans(text))
     checks = {"email": (EMAIL, lambda v: F.lit(True)), "ip": (IP, ip_ok), "card": (CARD, card_ok), "phone": (PHONE, phone_ok)}
     for kind, (pattern, wanted) in checks.items():
         number = KINDS.index(kind)
@@ -129,81 +145,63 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = d.select("row", "id", "text", F.array_sort(F.concat("email", "ip", "card", "phone")).alias("base"))
     d = d.withColumn("masked", F.when(F.size("base") > 0, masked(text, F.col("base"))))
 
-    def near(span: Column) -> Column:
-        """One span's entity, the hash of the text around it, and the terms nearest to it."""
-        begin = F.greatest(F.lit(0), span["start"] - CONTEXT_CHARS)
-        before = F.substring("masked", begin + 1, span["start"] - begin)
-        # a word that the window's edge cuts is none
-        first = F.when(begin > 0, F.length(F.regexp_extract(before, r"^[\p{L}\p{N}]+", 0))).otherwise(0)
-        after = F.substring("masked", span["end"] + 1, F.lit(CONTEXT_CHARS))
-        open_end = F.when(F.length(after) == CONTEXT_CHARS, F.length(F.regexp_extract(after, r"[\p{L}\p{N}]+$", 0))).otherwise(0)
-        after = F.substring(after, F.lit(1), F.length(after) - open_end)
-        value = F.when(span["kind"] == 0, F.lower(span["value"])).otherwise(digits(span["value"]))
-        entity = F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] == 1, span["value"]).otherwise(value))
-        context = F.xxhash64(before, after)
-        earlier, later = matches(F.substring(before, first + 1, F.length(before)), TERM), matches(after, TERM)
-        earlier = F.slice(earlier, F.greatest(F.lit(1), F.size(earlier) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS))
-        terms = F.transform(F.concat(earlier, F.slice(later, F.lit(1), F.lit(CONTEXT_WORDS))), F.lower)
-        return F.struct(entity.alias("entity"), context.alias("context"), terms.alias("terms"))
-
-    none = F.array().cast("array<struct<entity:string,context:bigint,terms:array<string>>>")
-    nearest = F.when(F.size("base") > 0, F.transform("base", near)).otherwise(none)
-    return table(d.select("row", "id", "base", "masked", nearest.alias("near")), "found")
-
-
-def terms_of(text: Column) -> Column:
-    """The different terms of a text."""
-    return F.array_distinct(F.transform(matches(text, TERM), F.lower))
-
-
-def _entities(found: DataFrame) -> DataFrame:
-    """(row, words, entity, context) for each document and different entity in it: all terms of the document, and the first of the entity's contexts there."""
-    names = F.array_distinct(F.transform("near", lambda x: x["entity"]))
-    first = F.transform(names, lambda e: F.struct(e.alias("entity"), F.element_at(F.col("near.context"), F.array_position(F.col("near.entity"), e).cast("int")).alias("context")))
-    d = found.where(F.size("near") > 0).select("row", terms_of(F.col("masked")).alias("words"), first.alias("first"))
-    return d.select("row", "words", F.explode("first").alias("e")).select("row", "words", "e.entity", "e.context")
+    def around(span: Column) -> Column:
+        """Hash of the nearest words before and after: what is before is read backwards."""
+        before = F.regexp_extract(F.reverse(F.substring("masked", 1, span["start"])), CONTEXT, 0)
+        after = F.regexp_extract(F.substring("masked", span["end"] + 1, F.length("masked")), CONTEXT, 0)
+        return F.xxhash64(before, after)
 
+    mentions = F.flatten(F.transform("base", lambda s: F.transform(classes_of(s), lambda c: F.struct(c.alias("class"), s["start"].alias("start"), s["end"].alias("end")))))
+    d = d.withColumn("mentions", F.when(F.size("base") > 0, mentions)).withColumn("names", F.array_distinct("mentions.class"))
+    first = F.transform("names", lambda c: F.element_at("mentions", F.array_position("mentions.class", c).cast("int")))
+    d = d.withColumn("first", first).withColumn("words", terms_of(F.col("masked")))
+    met = F.transform("first", lambda m: F.struct(m["class"].alias("class"), around(m).alias("context")))
+    return table(d.select("row", "id", "base", "masked", "words", met.alias("met")), "found")
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str, threshold: float = THRESHOLD, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
-    """(entity, term, disclosure) of the pairs over the threshold.
-
-    By documents of the whole corpus: disclosure = PMI(term; entity) / IC(entity) = log(D n(t,e) / (n(t) n(e))) / log(D / n(e)), 1
-    where the term occurs only with the entity. All terms of a document meet all entities in it, wherever they stand. A document
-    is one context of a pair, that of the entity's first mention; terms nearest to other mentions have those too.
-    A pair has no more contexts than its entity: entities with too few are left out before pairs are made, without loss.
-    All counts have partial aggregates before their shuffle.
-    """
-    mentions = found.select("row", F.explode("near").alias("e")).select("row", "e.entity", "e.context", "e.terms")
-    often = mentions.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("contexts"))
-    often = often.where(F.col("contexts") >= least_contexts).select("entity")
-    names = found.select(F.explode(F.array_distinct(F.col("near.entity"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n_entity = table(names.join(often, "entity"), "entities", small=True)
-    met = likely(_entities(found), n_entity, ["entity"]).select("entity", "context", F.explode("words").alias("term"), F.lit(1).alias("documents"))
-    near = likely(mentions, n_entity, ["entity"]).select("entity", "context", F.explode("terms").alias("term"), F.lit(0).alias("documents"))
-    pairs = (
-        met.union(near).groupBy("entity", "term", "context").agg(F.sum("documents").alias("documents"))
-        .groupBy("entity", "term").agg(F.sum("documents").alias("n_both"), F.count("*").alias("contexts"))
-        .where(F.col("contexts") >= least_contexts)
-    )
-    pairs = table(pairs.select("entity", "term", "n_both"), "pairs")
-    words = terms_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    n_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    total = found.count()
-    pairs = pairs.join(n_entity, "entity").join(n_term, "term")
-    pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity").cast("double")))
-    ic = F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return pairs.where(F.col("n_entity") < total).withColumn("disclosure", pmi / ic).where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(class, term, n_met, n_term, n_class, disclosure) of the pairs over the threshold, by documents of the whole corpus.
 
-def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_contexts: int = LEAST_CONTEXTS) -> DataFrame:
-    """row, id, base and spans, arrays of (start, kind, end, value) in order; kind is a place in KINDS, spans has the terms too.
+    A term meets all classes of the documents that it is in, wherever both stand. With p = n_met / n_term, the share of the term's
+    documents that have the class, and q = n_class / D: disclosure = PMI / IC = log(p / q) / log(1 / q), 1 where the term occurs
+    with the class alone. n_met counts different contexts of the class, so that copies of a passage are one.
 
-    A term is a span wherever it stands in a document that has an entity which it discloses, not in others: documents without personal data stay as they are.
+    A share of few documents may be chance. The evidence, n_term KL(p, q) in bits, has to be more than the bits that name one of all
+    (term, class) meetings, log M: so less than about one pair is taken by chance, whatever the size of the corpus, and there is no least count.
+    Evidence is at most n_met log(1 / q). Classes, and then pairs, that cannot have enough are left out before they are counted
+    by context, without loss. All counts have partial aggregates before their shuffle, and terms of the corpus are counted where they are in a pair.
     """
+    sizes = found.agg(F.count("*"), F.sum(F.size("words").cast("double") * F.size("met"))).first()
+    total, needed = float(sizes[0]), F.log2(F.greatest(F.lit(2.0), F.lit(float(sizes[1] or 0))))
+    ic = F.log2(F.lit(total) / F.col("n_class"))
+    met = found.where(F.size("base") > 0).select("row", F.explode("met").alias("m")).select("row", "m.class", "m.context")
+    classes = met.groupBy("class", "context").agg(F.count("*").alias("n")).groupBy("class").agg(F.sum("n").alias("n_class"), F.count("*").alias("contexts"))
+    classes = table(classes.where((F.col("n_class") < total) & (F.col("contexts") * ic > needed)).select("class", "n_class"), "classes", small=True)
+    each = found.where(F.size("base") > 0).select("words", F.explode("met").alias("m")).select("words", "m.class", "m.context")
+    each = likely(each, classes, ["class"]).select("class", "context", F.explode("words").alias("term"))
+    pairs = each.groupBy("class", "term").agg(F.count("*").alias("documents")).join(classes, "class").where(F.col("documents") * ic > needed)
+    pairs = table(pairs.select("class", "term", "n_class"), "pairs", small=True)
+    counted = likely(each, pairs, ["class", "term"]).groupBy("class", "term", "context").agg(F.lit(1).alias("n")).groupBy("class", "term").agg(F.count("*").alias("n_met"))
+    terms = table(pairs.select("term").distinct(), "terms", small=True)
+    words = docs.select(F.explode(terms_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("term"))
+    n_term = likely(words, terms, ["term"]).groupBy("term").agg(F.count("*").alias("n_term"))
+    out = pairs.join(counted, ["class", "term"]).join(n_term, "term", "left")
+    # a term that is one only beside a masked span can be in fewer texts than it has met classes
+    out = out.withColumn("n_term", F.greatest(F.coalesce("n_term", F.lit(0)), "n_met"))
+    p, q = F.col("n_met") / F.col("n_term"), F.col("n_class") / F.lit(total)
+    rest = F.when(p < 1, (1 - p) * F.log2((1 - p) / (1 - q))).otherwise(0.0)
+    evidence = F.col("n_term") * (p * F.log2(p / q) + rest)
+    out = out.where((p > q) & (evidence > needed)).withColumn("disclosure", F.log2(p / q) / F.log2(1 / q))
+    return out.where(F.col("disclosure") >= threshold).select("class", "term", "n_met", "n_term", "n_class", "disclosure")
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """pii_spans, with row: the place of each row of docs, which is settled."""
     found = _found(docs, id_col, text_col)
-    marked = table(disclosing(docs, found, text_col, threshold, least_contexts), "marked", small=True)
-    held = likely(_entities(found), marked, ["entity"]).select("row", "entity", F.explode("words").alias("term"))
-    marks = likely(held, marked, ["entity", "term"]).join(marked, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("marks"))
+    marked = table(disclosing(docs, found, text_col, threshold).select("class", "term"), "marked", small=True)
+    held = found.where(F.size("base") > 0).select("row", "words", F.explode("met").alias("m")).select("row", "words", "m.class")
+    held = likely(held, marked, ["class"]).select("row", "class", F.explode("words").alias("term"))
+    marks = likely(held, marked, ["class", "term"]).join(marked, ["class", "term"]).groupBy("row").agg(F.collect_set("term").alias("marks"))
     marks = table(marks, "marks", small=True)
     every = positions(F.col("masked"), TERM, matches(F.col("masked"), TERM), lambda v: F.array_contains(F.col("marks"), F.lower(v)))
     more = F.transform(every, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
@@ -212,10 +210,19 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     return found.select("row", "id", "base").join(places, "row", "left").select("row", "id", "base", both.alias("spans"))
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id and text with base spans generalised to their kind, as [EMAIL], and disclosing terms removed. Ids are taken as unique."""
-    spans = pii_spans(docs, id_col, text_col, **options).select(F.col("id").alias("_id"), "spans")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id, base and spans, arrays of (start, kind, end, value) in order; kind is a place in KINDS, spans has the terms too.
+
+    A term is a span wherever it stands in a document that has a class which it discloses, not in others: documents without personal data stay as they are.
+    """
+    return _spans(settled(docs), id_col, text_col, threshold).drop("row")
+
+
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id and text with base spans generalised to their kind, as [EMAIL], and disclosing terms removed; one row per row of docs, whatever their ids."""
+    docs = settled(docs)
+    spans = _spans(docs, id_col, text_col, threshold).select("row", "id", "spans")
+    text = F.col("text")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:-1]], F.lit(""))
 
     def step(done: Column, s: Column) -> Column:
@@ -224,7 +231,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     end = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
     made = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
-    return docs.join(spans, docs[id_col].eqNullSafe(spans["_id"])).select(F.col("_id").alias("id"), made.alias("text"))
+    texts = docs.select(place(docs).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return texts.join(spans, "row").select("id", made.alias("text"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -232,4 +240,4 @@ def op9(spark, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in KINDS[:-1]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in KINDS[:-1]], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), (F.size("spans") > 0).alias("has_pii"))

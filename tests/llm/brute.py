@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
+import regex
+
 SPACE = "[\x20\x09-\x0d]"
 WORD = "[^\x20\x09-\x0d]+"
 
@@ -104,3 +107,57 @@ def first_of_groups(rows: list[tuple], n: int, percent: int) -> list[tuple]:
     for k, (size, root) in roots.items():
         groups.setdefault(root if size else -1 - k, []).append(rows[k])
     return sorted((min(g, key=lambda r: by_id(r[0])) for g in groups.values()), key=repr)
+
+
+TERM = regex.compile(r"\p{L}[\p{L}\p{N}]*")
+
+
+def masked(text: str, spans) -> str:
+    chars = list(text)
+    for a, _, b in spans:
+        chars[a:b] = "." * (b - a)
+    return "".join(chars)
+
+
+def pii_classes(kind: int, value: str) -> tuple[str, str, str]:
+    value, number = value.lower(), re.sub("[^0-9]", "", value)
+    group = [value.split("@")[-1], ".".join(value.split(".")[:2]), number[:6], number[:4]][kind]
+    return str(kind), f"{kind}|{group}", f"{kind}:{value if kind <= 1 else number}"
+
+
+def disclosing(texts: list, threshold: float) -> dict:
+    """(class, term) -> disclosure, counted plainly."""
+    word = regex.compile(r"[\p{L}\p{N}]+")
+    n_term, n_class, met, meetings = {}, {}, {}, 0
+    for text in texts:
+        text = text or ""
+        for t in {t.lower() for t in TERM.findall(text)}:
+            n_term[t] = n_term.get(t, 0) + 1
+        spans = base_spans(text)
+        hidden, firsts = masked(text, spans), {}
+        for a, k, b in spans:
+            for c in pii_classes(k, text[a:b]):
+                firsts.setdefault(c, (tuple(word.findall(hidden[:a])[-4:]), tuple(word.findall(hidden[b:])[:4])))
+        terms = {t.lower() for t in TERM.findall(hidden)} if spans else set()
+        meetings += len(terms) * len(firsts)
+        for c, context in firsts.items():
+            n_class[c] = n_class.get(c, 0) + 1
+            for t in terms:
+                met.setdefault((c, t), set()).add(context)
+    out = {}
+    for (c, t), contexts in met.items():
+        n = max(n_term.get(t, 0), len(contexts))
+        p, q = len(contexts) / n, n_class[c] / len(texts)
+        if q < p:
+            evidence = n * (p * math.log2(p / q) + ((1 - p) * math.log2((1 - p) / (1 - q)) if p < 1 else 0))
+            disclosure = math.log2(p / q) / math.log2(1 / q)
+            if evidence > math.log2(max(2, meetings)) and disclosure >= threshold:
+                out[c, t] = disclosure
+    return out
+
+
+def all_spans(text: str, marked: dict) -> list[tuple[int, int, int]]:
+    spans = base_spans(text)
+    classes = {c for a, k, b in spans for c in pii_classes(k, text[a:b])}
+    terms = {t for c, t in marked if c in classes}
+    return sorted(spans + [(m.start(), 4, m.end()) for m in TERM.finditer(masked(text, spans)) if m[0].lower() in terms])

@@ -13,6 +13,7 @@ from millrace.llm.queries import ORACLE_SQL, QUERIES
 
 from ..compare import oracle, spark_rows
 from . import brute
+from .conftest import WORDS
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -161,40 +162,60 @@ def test_base_spans_equal_the_plain_patterns(spark):
     assert got == {i: brute.base_spans(t or "") for i, t in rows}
 
 
-def test_terms_that_disclose_an_entity(spark):
-    """Annika stands with one address alone, in different contexts: disclosed. 'now' is everywhere. A copied passage is one context and no evidence."""
-    rows = [(i, f"filler{i} so Annika now ann.lee@acme.org about{i}") for i in range(5)] + [(10 + i, f"nothing now here so {i}") for i in range(60)] + [(100 + i, "Copied Zara here now zz@acme.org the end") for i in range(9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = {r.id: r for r in pii.pii_spans(df).collect()}
-    terms = {r.id: [s.value for s in r.spans if pii.KINDS[s.kind] == "term"] for r in out.values()}
-    assert terms[0] == ["annika"] and terms[10] == [] and terms[100] == []
-    assert all(rows[i][1][s.start:s.end].lower() == s.value for i in range(5) for s in out[i].spans)
-    texts = {r.id: r.text for r in pii.sanitised(df).collect()}
-    assert texts[0] == "filler0 so  now [EMAIL] about0" and texts[10] == "nothing now here so 0"
-    # by hand: PMI / IC for (annika, address): n = 5 of 74 each and together
-    pair = pii.disclosing(df, pii._found(df, "doc_id", "text"), "text").where("term = 'annika'").first()
-    assert pair.disclosure == pytest.approx(1.0)
-
-
-def test_terms_disclose_an_entity_wherever_they_stand(spark):
-    """Annika stands near the address in some documents and far from it in others, and again later: one term in all of them, marked each time."""
-    far = "from the finance department of our house can be reached any day this week at"
-    rows = [(i, f"note{i} Annika {far if i % 2 else ''} ann.lee@acme.org about{i} and " + f"more of what is here so {i} " * 9 + "ask ANNIKA") for i in range(6)]
-    rows += [(10 + i, f"note a {far} and about more of what is here so {i} ask") for i in range(60)]
-    # in one document, three mentions far from a term are one context; a term nearest to each of the three has three
-    rows += [(200, "Olga " + " ".join(f"zz@acme.org Pavel {far} {i}" for i in range(3)))]
+def disclosure_rows():
+    """Annika stands with addresses of one domain alone, near and far; 'token' mostly with cards; copies of one passage say nothing; the rest is noise."""
+    r = random.Random(12)
+    noise = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(30)) for _ in range(n))
+    rows = []
+    for i in range(400):
+        text = noise(r.randrange(3, 25))
+        if i % 20 == 0:
+            text += f" Annika {noise(r.choice([1, 12]))} ann{i % 3}@acme.org {noise(4)} and ANNIKA"
+        elif i % 20 == 1:
+            text += f" {noise(2)} no 4111 1111 1111 1111 so {noise(3)}" + (" token now" if i % 40 == 1 else "")
+        elif i % 20 == 2:
+            text += " Copied Zara here now zz@else.net the end of it"
+        elif i % 20 == 3:
+            text += f" {noise(3)} b{i}@c{i}.net {noise(1)} abc12.1.2.3 {noise(2)} +1 (234) 555-7890 x"
+        rows.append((i, text))
+    return rows + [(5, rows[0][1]), (None, rows[1][1]), (900, None), (901, ""), (902, "token " * 3)]
+
+
+def test_terms_equal_brute_force(spark):
+    rows = disclosure_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = {r.id: r for r in pii.pii_spans(df).collect()}
-    terms = {i: [(s.start, s.end, s.value) for s in r.spans if pii.KINDS[s.kind] == "term"] for i, r in out.items()}
-    texts = dict(rows)
-    for i in range(6):
-        end = len(texts[i])
-        assert terms[i] == [(6, 12, "annika"), (end - 6, end, "annika")]
-    assert {v for _, _, v in terms[200]} == {"pavel"} and len(terms[200]) == 3
-    assert all(terms[i] == [] for i in range(10, 70))
-    # by hand: 6 documents of 67 each and together
-    pair = pii.disclosing(df, pii._found(df, "doc_id", "text"), "text").where("term = 'annika'").first()
-    assert pair.disclosure == pytest.approx(1.0)
+    want = brute.disclosing([t for _, t in rows], pii.THRESHOLD)
+    got = pii.disclosing(df, pii._found(df, "doc_id", "text"), "text").collect()
+    assert {(r["class"], r.term): pytest.approx(r.disclosure) for r in got} == want
+    assert ("0", "annika") in want and ("0|acme.org", "annika") in want and ("2", "token") in want and not any(t == "zara" for _, t in want)
+    spans = sorted(((r.id, [(s.start, s.kind, s.end) for s in r.spans]) for r in pii.pii_spans(df).collect()), key=repr)
+    assert spans == sorted(((i, brute.all_spans(t or "", want)) for i, t in rows), key=repr)
+    texts = sorted(((r.id, r.text) for r in pii.sanitised(df).collect()), key=repr)
+    assert len(texts) == len(rows) and not any("nnika" in t or "@" in t for _, t in texts) and (902, "token " * 3) in texts
+
+
+def test_op9_digests_equal_brute_force(spark, tmp_path):
+    rows = disclosure_rows()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute.disclosing([t for _, t in rows], pii.THRESHOLD)
+    joined = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    expected = []
+    for i, t in rows:
+        base = brute.base_spans(t or "")
+        spans = brute.all_spans(t or "", want)
+        expected.append((i, *[sum(k == n for _, k, _ in base) for n in range(4)], brute.sha(joined(base)), joined(spans), bool(spans)))
+    out = QUERIES["op9_pii"](spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "has_pii"]
+    assert [t for _, t in out.dtypes] == ["bigint"] * 5 + ["string", "string", "boolean"]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_term_spans_occur_in_the_documents(spark):
+    """What sf0.1 holds of this: 'token', of planted secrets, stands with personal data far more often than by chance. Documents without stay as they are."""
+    out = pii.pii_spans(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    terms = out.select("id", "base", F.explode("spans").alias("s")).where(F.col("s.kind") == 4)
+    counts = {r.value: r.n for r in terms.groupBy(F.col("s.value").alias("value")).agg(F.count("*").alias("n")).collect()}
+    assert counts["token"] > 50 and counts["token"] >= 0.8 * sum(counts.values()) and terms.where(F.size("base") == 0).count() == 0
 
 
 def test_native_operators_on_empty_tables(empty):

@@ -20,8 +20,11 @@ from .common import bounded_batches, components, own_columns, table
 #: Fixed by the contract: the least cosine of a link.
 COSINE = 0.93
 #: The index's bounded sample: reference points, of any label, chosen by hash: one for so many vectors, within bounds.
-PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 64, 2_048
+#: With the most, each list has about the same length up to some three million vectors; from there on lists grow with the rows.
+PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 64, 32_768
 APART = 0.8
+#: Candidates that are held against the pivots at a time.
+CHUNK = 1_024
 #: A vector is described by so many of its nearest pivots; a pair is verified if it shares so many of these.
 NEAREST, SHARED = 6, 3
 #: Vectors that one task compares with as many others at a time.
@@ -40,12 +43,26 @@ def choose_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
     share = min(1.0, 4.0 * wanted / max(1, count))
     key = F.xxhash64(F.lit("pivot"), "vector")
     rows = vectors.select("size", "vector", key.alias("key")).where(F.pmod("key", F.lit(1 << 30)) < share * (1 << 30)).distinct().orderBy("key").limit(2 * wanted).collect()
-    found: dict[int, list] = {}
+    sampled: dict[int, list] = {}
     for r in rows:
-        taken, v = found.setdefault(r["size"], []), unit(np.array([r["vector"]], dtype=np.float64))[0]
-        if len(taken) < wanted and (not taken or float(np.max(np.stack(taken) @ v)) < APART):
-            taken.append(v)
-    return {n: np.stack(v) for n, v in found.items()}
+        sampled.setdefault(r["size"], []).append(r["vector"])
+    return {n: spread(unit(np.array(v, dtype=np.float64)), wanted) for n, v in sampled.items()}
+
+
+def spread(x: np.ndarray, wanted: int) -> np.ndarray:
+    """The first of the unit vectors x, up to wanted, none within APART of one before it."""
+    taken, n = np.zeros((min(wanted, len(x)), x.shape[1])), 0
+    for at in range(0, len(x), CHUNK):
+        part = x[at:at + CHUNK]
+        part = part[(part @ taken[:n].T < APART).all(axis=1)]
+        near = part @ part.T >= APART
+        chosen: list[int] = []
+        for i in range(len(part)):
+            if n + len(chosen) < wanted and not near[i, chosen].any():
+                chosen.append(i)
+        taken[n:n + len(chosen)] = part[chosen]
+        n += len(chosen)
+    return taken[:n]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -108,7 +125,9 @@ def near_groups(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     """
     spark = rows.sparkSession
     bounded_batches(spark)
-    named = own_columns(rows, id=id_col, vector=vector_col, label=label_col).withColumn("vector", F.col("vector").cast("array<double>"))
+    named = own_columns(rows, id=id_col, vector=vector_col, label=label_col)
+    if dict(named.dtypes)["vector"] != "array<float>":  # what is single stays so on its way; cosines are double
+        named = named.withColumn("vector", F.col("vector").cast("array<double>"))
     usable = F.col("label").isNotNull() & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     kept = named.withColumn("usable", F.coalesce(usable, F.lit(False)))
     kept = table(kept.withColumn("row", F.monotonically_increasing_id()).withColumn("print", F.md5(F.to_json(F.struct("label", "vector")))), "vectors")
@@ -137,20 +156,32 @@ def near_groups(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("unit", F.least("block", "with")).withColumn("other", F.greatest("block", "with"))
-    # vectors join their places by node, in as many rows as they have entries that are shared
-    units = placed.join(indexed.select("node", "vector", "own"), "node").select("node", "copies", "vector", "own", "block", *lists, "unit", "other")
+    # many lists to a task: short ones by their first pivot, so that a vector with twenty entries goes to four tasks at most, long ones by their blocks
+    rows_in_all = sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    spot = F.when(F.col("blocks") == 1, F.xxhash64(*lists[:2], F.substring_index("entry", "-", 1))).otherwise(F.xxhash64(*lists, "unit", "other"))
+    placed = placed.withColumn("part", F.pmod(spot, F.lit(1 + rows_in_all // GROUP_ROWS)))
+    # a place: the list's name, the entry, and the block, -1 where a list is compared within
+    place = F.concat_ws("#", F.md5(F.to_json(F.struct(*lists, "unit", "other"))), "entry", F.when(F.col("unit") == F.col("other"), -1).otherwise(F.col("block")).cast("string"))
+    placed = placed.groupBy("part", "node", "copies").agg(F.collect_list(place).alias("places"))
+    units = placed.join(indexed.select("node", "size", "vector", "own"), "node")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors, owns, node, copies, block = (pdf[c].to_numpy() for c in ("vector", "own", "node", "copies", "block"))
+        vectors, owns, node, copies = (pdf[c].to_numpy() for c in ("vector", "own", "node", "copies"))
+        found: dict[str, list[tuple[int, int]]] = {}
+        for i, places in enumerate(pdf["places"]):
+            for p in places:
+                name, _, block = p.rpartition("#")
+                found.setdefault(name, []).append((i, int(block)))
         counted, totals, edges = [], [], []
-        for (_, _, entry, one, other), at in pdf.groupby([*lists, "unit", "other"], sort=False).indices.items():
-            if len(at) < 2:
+        for name, rows in found.items():
+            if len(rows) < 2:
                 continue
-            pivots_of = np.array([int(p) for p in entry.split("-") if p], dtype=np.int32)
+            at, block = np.array([i for i, _ in rows]), np.array([b for _, b in rows])
+            pivots_of = np.array([int(p) for p in name.rpartition("#")[2].split("-") if p], dtype=np.int32)
             own = np.stack(owns[at]).astype(np.int32).reshape(len(at), -1)
             if not len(pivots_of):
                 own, pivots_of = np.zeros((len(at), 1), np.int32), np.zeros(1, np.int32)
-            counts, forest = compare_unit(unit(np.stack(vectors[at]).astype(np.float64)), own, copies[at], pivots_of, block[at] if one != other else None, cosine)
+            counts, forest = compare_unit(unit(np.stack(vectors[at]).astype(np.float64)), own, copies[at], pivots_of, block if block[0] >= 0 else None, cosine)
             some = np.flatnonzero(counts)
             counted.append(node[at][some])
             totals.append(counts[some])
@@ -159,10 +190,7 @@ def near_groups(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
         out = pd.DataFrame({"a": np.concatenate(counted or empty), "b": -1, "n": np.concatenate(totals or empty)})
         return pd.concat([out, pd.DataFrame(edges, columns=["a", "b", "n"])]).astype("int64")
 
-    # many lists to a group, as most are short: a group has about GROUP_ROWS rows, whatever their number
-    rows_in_all = sizes.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
-    part = F.pmod(F.xxhash64(*lists, "unit", "other"), F.lit(1 + rows_in_all // GROUP_ROWS))
-    compared = table(units.groupBy(part.alias("part")).applyInPandas(compare, "a long, b long, n long"), "compared", small=True)
+    compared = table(units.groupBy("part").applyInPandas(compare, "a long, b long, n long"), "compared", small=True)
     counts = compared.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     roots = components(compared.where("b >= 0").select("a", "b")).select(F.col("id").alias("node"), "root")
     known = classes.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -191,6 +191,42 @@ def test_near_groups(spark, unit_rows):
     assert sum(got[i][1] == roots[i] for i in roots) >= 0.97 * len(roots)
 
 
+def test_op10_on_a_planted_table(spark, tmp_path):
+    """The registered query: contract columns, no link below the cosine, recall of links and components over 0.9."""
+    r = np.random.default_rng(11)
+    rows, n = [], 0
+    for c in range(250):
+        centre = r.normal(size=48)
+        for _ in range(int(r.integers(1, 8))):
+            rows.append((n, (centre + r.normal(size=48) * 0.25).astype(np.float32).tolist(), ["a", "b", None][c % 3]))
+            n += 1
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = QUERIES["op10_embedding_dedup"](spark, str(tmp_path))
+    assert dict(out.dtypes) == {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"}
+    got = {x.vec_id: x for x in out.collect()}
+    pairs = near_pairs(rows)
+    links = dict.fromkeys(got, 0)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    roots = brute.closure([x[0] for x in rows], pairs)
+    assert len(got) == len(rows) and sum(links.values()) > 400 and all(got[i].n_links <= links[i] for i in links)
+    assert sum(x.n_links for x in got.values()) >= 0.9 * sum(links.values())
+    assert sum(got[i].component_id == roots[i] for i in roots) >= 0.95 * len(roots)
+    assert all(x.kept == (x.vec_id == x.component_id) for x in got.values())
+
+
+def test_pivots_stand_apart():
+    r = np.random.default_rng(5)
+    x = embedding_dedup.unit(np.concatenate([r.normal(size=(1500, 8)), np.repeat(r.normal(size=(3, 8)), 500, axis=0)]))
+    taken = embedding_dedup.spread(x, 100)
+    slow: list = []
+    for v in x:
+        if len(slow) < 100 and all(v @ t < embedding_dedup.APART for t in slow):
+            slow.append(v)
+    assert np.allclose(taken, np.array(slow))
+
+
 def test_near_groups_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_groups(df).count() == 0

@@ -230,8 +230,8 @@ def _groups(source: DataFrame, words: int, percent: int, unit: int, parts: int,
        components are the only places where links can be.
     3. The texts of these classes alone are read again and compared exactly, in units of bounded size: a component's classes are dealt to
        blocks by hash, each compared within and with the component's first class. So a tight component costs time in proportion to its size.
-    4. Where that leaves a component in more than one group, its classes are compared once more by signature: those that share one,
-       and only where these are in more than one group. So what a loose component costs goes by what shares a signature, not by its square.
+    4. Where that leaves a component in more than one group, its classes are compared once more: those that share a signature,
+       and only where these are in more than one group. So what a loose component costs goes by what shares signatures, not by its square.
     """
     spark = source.sparkSession
     bounded_batches(spark)
@@ -264,9 +264,13 @@ def _groups(source: DataFrame, words: int, percent: int, unit: int, parts: int,
     total = signed.agg(F.sum("many"), F.sum("bytes")).first()
     rounds = min(SLICES, max(1, -(-2 * SIGN_BYTES * (total[0] or 0) // max(1, total[1] or 1))))
     found = []
+
+    def slice_of(k: int) -> DataFrame:
+        """(node, signs): the signatures of one round."""
+        return signed.select("node", F.flatten(F.array(*[F.get("signs", F.lit(i)) for i in range(k, SLICES, rounds)])).alias("signs"))
+
     for k in range(rounds):
-        some = F.flatten(F.array(*[F.get("signs", F.lit(i)) for i in range(k, SLICES, rounds)]))
-        signs = signed.select("node", some.alias("signs")).join(reps, "node", "left_semi").select("node", F.explode("signs").alias("sign"))
+        signs = slice_of(k).join(reps, "node", "left_semi").select("node", F.explode("signs").alias("sign"))
         shared = signs.groupBy("sign").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
         found.append(table(signs.join(shared, "sign").where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), "edges", small=True))
     edges = reduce(DataFrame.union, found)
@@ -298,16 +302,20 @@ def _groups(source: DataFrame, words: int, percent: int, unit: int, parts: int,
         state = members.where("blocks > 1").select("node", "size", "cluster").join(joined, "node", "left").withColumn("group", F.coalesce("joined", "node")).drop("joined")
         loose = state.groupBy("cluster").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x < y").select("cluster")
         state = table(state.join(loose, "cluster", "left_semi").select("node", "size", "group"), "loose", small=True)
-        signs = signed.select("node", F.flatten("signs").alias("signs")).join(state, "node").select("node", "size", "group", F.explode("signs").alias("sign"))
-        one, two = F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1)))
-        lists = signs.groupBy("sign").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("n"), one.alias("one"), two.alias("two"), F.sum("size").alias("load")).where("x < y")
-        # signatures of the same classes are one list
-        lists = lists.groupBy("n", "one", "two").agg(F.min("sign").alias("sign"), F.min("load").alias("load")).select("sign", F.ceil(F.col("load") / F.lit(unit)).cast("int").alias("blocks"))
-        met = signs.join(lists, "sign").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = table(met.select("node", "size", "group", "sign", "block", F.least("block", "with").alias("unit"), F.greatest("block", "with").alias("other")), "met", small=True)
-        across = met.join(held.select("node", "elements"), "node")
-        links = links.union(_compared(across, ["sign", "unit", "other"], percent, unit))
+        if not state.isEmpty():
+            met = []
+            for k in range(rounds):
+                signs = slice_of(k).join(state, "node").select("node", "size", "group", F.explode("signs").alias("sign"))
+                lists = signs.groupBy("sign").agg(F.min("group").alias("list"), F.max("group").alias("last")).where("list < last").select("sign", "list")
+                met.append(table(signs.join(lists, "sign").select("list", "node", "size", "group").distinct(), "met", small=True))
+            # signatures with the same first group are one list, in which a class stands once, however many of them it has
+            met = reduce(DataFrame.union, met).distinct()
+            load = met.groupBy("list").agg(F.ceil(F.sum("size") / F.lit(unit)).cast("int").alias("blocks"))
+            met = met.join(load, "list").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            met = table(met.select("node", "size", "group", "list", "block", F.least("block", "with").alias("unit"), F.greatest("block", "with").alias("other")), "met", small=True)
+            across = met.join(held.select("node", "elements"), "node")
+            links = links.union(_compared(across, ["list", "unit", "other"], percent, unit))
     found = components(links).select(F.col("id").alias("node"), "root")
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = named.groupBy("root").agg(F.min("first").alias("first"))

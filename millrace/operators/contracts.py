@@ -211,12 +211,14 @@ DOMAIN_CHECKS: dict[str, Callable[[Callable[[str], Column]], list[tuple[str, Col
 }
 
 
+def domain_checks(kind: Column, payload: str = "payload") -> list[tuple[str, Column]]:
+    """All checks of the domains, each for rows of its type alone."""
+    return [(code, (kind == event_type) & bad) for event_type, checks in DOMAIN_CHECKS.items() for code, bad in checks(lambda n: F.col(payload)[n])]
+
+
 def route(df: DataFrame, properties: Iterable[str], versions: Iterable[str], as_of: Column, payload: str = "payload") -> DataFrame:
     """df with reasons (all, sorted, distinct) and zone, quarantine if there is any reason, else clean. payload is a map of text."""
-    kind = F.upper(F.trim("event_type"))
-    checks = envelope_checks(properties, versions, as_of)
-    for event_type, domain in DOMAIN_CHECKS.items():
-        checks += [(code, (kind == event_type) & bad) for code, bad in domain(lambda n: F.col(payload)[n])]
+    checks = envelope_checks(properties, versions, as_of) + domain_checks(F.upper(F.trim("event_type")), payload)
     return df.withColumn("reasons", reasons(checks)).withColumn("zone", F.when(F.size("reasons") > 0, "quarantine").otherwise("clean"))
 
 

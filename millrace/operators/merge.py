@@ -127,6 +127,25 @@ def first_seen(ledger_rows: DataFrame, events: DataFrame, key: str = "event_id")
     return events.join(ledger_rows.select(key), key, "left_anti").dropDuplicates([key])
 
 
+def route_deliveries(deliveries: DataFrame, ledger_rows: DataFrame, key: str = "event_id", arrival: str = "arrival", reason: str = "reason", attempts: str = "attempts", failed: str = "failed", max_attempts: int = 10) -> DataFrame:
+    """deliveries with status and wait_seconds, the wait before a retry; attempts are those before this one.
+
+    quarantine: reason is not null. duplicate_ignored: the ledger has the key, or an earlier delivery that passed its contract does. Of the
+    others those that their handler failed go to retry, or to dead_letter when this was the last attempt; the rest is processed. The first delivery
+    of a key is a minimum with partial aggregates, so that a key that is delivered over and over meets in no task.
+    """
+    from ..functions.scalars import backoff
+
+    good = deliveries.where(F.col(reason).isNull())
+    first = good.groupBy(key).agg(F.min(arrival).alias("_first")).join(ledger_rows.select(F.col(key), F.lit(True).alias("_seen")).distinct(), key, "left")
+    rows = deliveries.join(first, key, "left")
+    again = F.col("_seen").isNotNull() | (F.col(arrival) > F.col("_first"))
+    lost = F.coalesce(F.col(failed), F.lit(False))
+    status = F.when(F.col(reason).isNotNull(), "quarantine").when(again, "duplicate_ignored").when(~lost, "processed").when(F.col(attempts) + 1 >= max_attempts, "dead_letter").otherwise("retry")
+    rows = rows.withColumn("status", status)
+    return rows.withColumn("wait_seconds", F.when(F.col("status") == "retry", backoff(F.col(attempts) + 1))).drop("_first", "_seen")
+
+
 def recompute_windows(mart: DataFrame, full: DataFrame, changed: DataFrame, keys: list[str], build) -> DataFrame:
     """mart after an incremental run: the windows that changed rows touch are built anew from all of full, the others stay.
 

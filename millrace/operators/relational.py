@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
@@ -87,13 +88,65 @@ def checksum(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("row_count"), *sums).select("row_count", F.concat_ws("-", *[F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("string") for i in range(4)]).alias("checksum"))
 
 
+#: Cells that a histogram pass divides a range into.
+CELLS = 4_096
+
+
+def finite(df: DataFrame, value: str) -> DataFrame:
+    """One column x, double: the finite numbers of a column."""
+    x = F.col(value).cast("double")
+    return df.select(x.alias("x")).where(F.abs("x") < float("inf"))
+
+
+def order_statistics(df: DataFrame, value: str, ranks: Iterable[int]) -> list[float]:
+    """The values at these ranks, from 0, of the finite numbers of a column. Exact, without a sort or a map of all values.
+
+    A pass counts values by CELLS cells of each range that a rank is known to lie in; the cell that holds the rank is the next range, from its least
+    to its greatest value. A range of one value is the answer: two or three passes mostly, each with partial aggregates of bounded size.
+    """
+    rows = finite(df, value)
+    low, high = rows.agg(F.min("x"), F.max("x")).first()
+    open_ = {r: (low, high, r) for r in set(ranks)}
+    found = {r: low for r in open_ if low == high}
+    while len(found) < len(open_):
+        ranges = sorted({open_[r][:2] for r in open_ if r not in found})
+        half = lambda a, b: 1.0 if math.isfinite(b - a) else 0.5  # so that no width overflows, nor vanishes
+        cell = lambda a, b: F.least(F.lit(CELLS - 1), F.floor((F.col("x") * half(a, b) - a * half(a, b)) / (b * half(a, b) - a * half(a, b)) * CELLS))
+        places = F.array(*[F.when(F.col("x").between(a, b), F.struct(F.lit(i).alias("range"), cell(a, b).cast("int").alias("cell"))) for i, (a, b) in enumerate(ranges)])
+        cells = rows.select("x", F.explode(F.filter(places, lambda p: p.isNotNull())).alias("p")).groupBy("p").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
+        counted: dict[int, list] = {}
+        for r in sorted(cells.collect(), key=lambda r: (r["p"]["range"], r["p"]["cell"])):
+            counted.setdefault(r["p"]["range"], []).append(r)
+        for rank, (a, b, left) in list(open_.items()):
+            if rank in found:
+                continue
+            for r in counted[ranges.index((a, b))]:
+                if left < r["n"]:
+                    break
+                left -= r["n"]
+            open_[rank] = (r["a"], r["b"], left)
+            if r["a"] == r["b"]:
+                found[rank] = r["a"]
+    return [found[r] for r in ranks]
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Inclusive percentiles, interpolated between neighbouring ranks; none without values."""
+    m = finite(df, value).count()
+    if not m:
+        return []
+    spots = [s * (m - 1) for s in shares]
+    at = order_statistics(df, value, [k for s in spots for k in (int(s), min(int(s) + 1, m - 1))])
+    return [low + (high - low) * (s - int(s)) for s, low, high in zip(spots, at[::2], at[1::2], strict=True)]
+
+
 def psi(reference: DataFrame, current: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """(psi) of current against bins at the exact quantiles of reference; null values are left out.
 
     The edges, at most bins + 1 numbers, come to the driver; both histograms are partial aggregates. Bins are closed below, the last one
     at both ends; what lies outside is dropped. Without values on a side it is infinite, with fewer than three edges 0.
     """
-    edges = sorted(set(reference.agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first()["e"] or []))
+    edges = sorted(set(percentiles(reference, value, [i / bins for i in range(bins + 1)])))
     spark = reference.sparkSession
     if not edges or current.where(F.col(value).isNotNull()).isEmpty():
         return spark.range(1).select(F.lit(float("inf")).alias("psi"))
@@ -114,18 +167,14 @@ def psi(reference: DataFrame, current: DataFrame, value: str, bins: int = 10) ->
 
 
 def exclusive_quantile(df: DataFrame, value: str, i: int, n: int) -> DataFrame:
-    """The i-th of n exclusive quantiles, at rank i (m + 1) / n, as one row.
-
-    Inclusive percentiles at the two neighbouring ranks are exact order statistics, so no list is gathered.
-    """
-    m = df.where(F.col(value).isNotNull()).count()
+    """The i-th of n exclusive quantiles, at rank i (m + 1) / n, as one row: two exact order statistics, and no list of values."""
+    m = finite(df, value).count()
     if m < 2:
-        return df.agg(F.max(value).alias("quantile"))
-    rank = i * (m + 1) // n
-    rank = min(max(rank, 1), m - 1)
+        return finite(df, value).agg(F.max("x").alias("quantile"))
+    rank = min(max(i * (m + 1) // n, 1), m - 1)
     part = i * (m + 1) - rank * n
-    low, high = (F.percentile(F.col(value).cast("double"), F.lit((r - 1) / (m - 1))) for r in (rank, rank + 1))
-    return df.agg(((low * (n - part) + high * part) / n).alias("quantile"))
+    low, high = order_statistics(df, value, [rank - 1, rank])
+    return df.sparkSession.range(1).select(F.lit((low * (n - part) + high * part) / n).alias("quantile"))
 
 
 def dependencies_complete(items: DataFrame, key: str, dependencies: str, status: str, done: str = "COMPLETE") -> DataFrame:

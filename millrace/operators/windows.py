@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,28 +80,40 @@ def latest_per_window(df: DataFrame, ts: str, width: str, keys: list[str], tie:
 
 
 class CappedSessionProcessor:
-    """State of capped sessions in a stream, for applyInPandasWithState: (start, end, count) in microseconds."""
+    """Capped sessions in a stream by the rule of capped_sessions, for applyInPandasWithState.
+
+    State (STATE), in microseconds: the session's first event, the current piece's start, last event and count, -1 where there is none, and the
+    events that the watermark has not passed. These wait, so that events are taken in order of their time in whatever batches they come.
+    """
+
+    STATE = "first long, start long, last long, n long, waiting array<long>"
+    OUTPUT = "key string, session_start timestamp, session_end timestamp, event_count long"
 
     def __init__(self, gap_seconds: int, cap_seconds: int):
         self.gap, self.cap = gap_seconds * 1_000_000, cap_seconds * 1_000_000
 
     def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        closed = []
-        if state.hasTimedOut:
-            closed.append(state.get)
+        first, start, last, n, waiting = state.get if state.exists else (-1, -1, -1, 0, [])
+        waiting = sorted([*waiting, *(t for b in batches for t in b["ts"].astype("datetime64[us]").astype("int64").tolist())])
+        mark, closed = state.getCurrentWatermarkMs() * 1_000, []
+        passed = bisect_right(waiting, mark)
+        for t in waiting[:passed]:
+            joins = n > 0 and t - last <= self.gap
+            if n and not (joins and (t - first) // self.cap == (start - first) // self.cap):
+                closed.append((start, last, n))
+                n = 0
+            if not n:
+                first, start = first if joins else t, t
+            last, n = t, n + 1
+        waiting = waiting[passed:]
+        if n and last + self.gap < mark:
+            closed.append((start, last, n))
+            first, start, last, n = -1, -1, -1, 0
+        if n or waiting:
+            state.update((first, start, last, n, waiting))
+            due = min([*waiting[:1], *([last + self.gap] if n else [])])
+            state.setTimeoutTimestamp(max(due, mark) // 1_000 + 1)
+        elif state.exists:
             state.remove()
-        else:
-            times = sorted(t for b in batches for t in (b["ts"].astype("datetime64[us]").astype("int64").tolist()))
-            now = state.get if state.exists else None
-            for t in times:
-                if now and t - now[1] <= self.gap and t - now[0] < self.cap:
-                    now = (now[0], max(now[1], t), now[2] + 1)
-                else:
-                    if now:
-                        closed.append(now)
-                    now = (t, t, 1)
-            if now:
-                state.update(now)
-                state.setTimeoutTimestamp(max(now[1] + self.gap, state.getCurrentWatermarkMs() * 1_000) // 1_000 + 1)
         if closed:
-            yield pd.DataFrame([(*key, pd.Timestamp(s, unit="us"), pd.Timestamp(e, unit="us"), n) for s, e, n in closed], columns=["key", "session_start", "session_end", "event_count"])
+            yield pd.DataFrame([(*key, pd.Timestamp(a, unit="us"), pd.Timestamp(b, unit="us"), c) for a, b, c in closed], columns=["key", "session_start", "session_end", "event_count"])

@@ -361,3 +361,24 @@ def dq_rates(spark, sf):
     rate = F.col("failed").cast("double") / F.col("checked")
     return m.withColumn("rate", rate).withColumn("class", scoring.drift_class(F.col("rate")))
 
+
+@query("domain_reasons", """WITH e AS (SELECT event_id AS i, user_id AS u, CAST(event_id % 4 AS INTEGER) AS k, CAST(value AS DECIMAL(18,2)) - 50 AS coin FROM events),
+  r AS (SELECT ['SLOT_PLAY', 'REWARD_ACTIVITY', 'PAYMENT', 'WORK_ORDER'][k + 1] AS event_type, CASE k
+    WHEN 0 THEN concat_ws(',', CASE WHEN coin < 0 THEN 'COIN_IN_NEGATIVE' END, CASE WHEN i % 3 = 0 THEN 'MACHINE_ID_REQUIRED' END, CASE WHEN i % 11 = 0 THEN 'PAYOUT_NEGATIVE' END, CASE WHEN i % 5 = 0 THEN 'PLAY_ID_REQUIRED' END)
+    WHEN 1 THEN concat_ws(',', CASE WHEN u % 2 <> 0 THEN 'GUEST_ID_REQUIRED' END, CASE WHEN i % 5 = 0 THEN 'REWARD_EVENT_ID_REQUIRED' END)
+    WHEN 2 THEN concat_ws(',', CASE WHEN i % 3 = 0 THEN 'CURRENCY_UNSUPPORTED' END, CASE WHEN i % 5 = 0 THEN 'TRANSACTION_ID_REQUIRED' END)
+    ELSE concat_ws(',', CASE WHEN i % 7 = 0 THEN 'CLOSED_BEFORE_OPENED' END, CASE WHEN i % 5 = 0 THEN 'WORK_ORDER_ID_REQUIRED' END) END AS reasons FROM e)
+  SELECT event_type, reasons, count(*) AS n_rows FROM r GROUP BY 1, 2""")
+def domain_reasons(spark, sf):
+    """The four domains' validators over payloads made of events."""
+    i, c = F.col("event_id"), F.col
+    some_id = F.when(i % 5 != 0, i.cast("string"))
+    fields = {
+        "play_id": some_id, "machine_id": F.when(i % 3 == 0, "").otherwise("m"), "coin_in": (c("value").cast("decimal(18,2)") - 50).cast("string"), "payout": F.when(i % 11 == 0, "-1").otherwise("1"),
+        "reward_event_id": some_id, "guest_id": F.when(c("user_id") % 2 == 0, c("user_id").cast("string")), "transaction_id": some_id, "currency": F.when(i % 3 == 0, "eur").otherwise(" usd "),
+        "work_order_id": some_id, "opened_at": F.lit("2024-01-02 00:00:00"), "closed_at": F.when(i % 7 == 0, "2024-01-01 00:00:00").otherwise("2024-01-03 00:00:00"),
+    }
+    kinds = F.array(*[F.lit(k) for k in ("SLOT_PLAY", "REWARD_ACTIVITY", "PAYMENT", "WORK_ORDER")])
+    e = read(spark, sf, "events").select(F.element_at(kinds, (i % 4 + 1).cast("int")).alias("event_type"), F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)]).alias("payload"))
+    out = e.select("event_type", F.array_join(C.reasons(C.domain_checks(c("event_type"))), ",").alias("reasons"))
+    return out.groupBy("event_type", "reasons").agg(F.count("*").alias("n_rows"))

@@ -34,19 +34,19 @@ def hop(width: int, step: int, source: str) -> str:
     return f"(SELECT *, time_bucket(INTERVAL {step} SECOND, event_ts) - to_seconds({step} * k) AS w FROM {source}, range({width // step}) AS hops(k))"
 
 
-@query("slot_hopping", f"WITH {GAME} SELECT property_code, strftime(w + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS event_count, count(DISTINCT session_id) AS session_count, CAST(sum(coin_in) AS DOUBLE) AS coin_in, CAST(sum(payout) AS DOUBLE) AS payout, CAST(sum(coin_in - payout - jackpot) AS DOUBLE) AS net_win, CAST(sum(coin_in) AS DOUBLE) / count(*) AS avg_coin_in FROM {hop(300, 30, '(SELECT * FROM game WHERE session_id % 5 = 0)')} GROUP BY property_code, w")
+@query("slot_hopping", f"WITH {GAME} SELECT property_code, strftime(w + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS event_count, count(DISTINCT session_id) AS session_count, CAST(sum(coin_in) AS DOUBLE) AS coin_in, CAST(sum(payout) AS DOUBLE) AS payout, CAST(sum(coin_in - payout - jackpot) AS DOUBLE) AS net_win, CAST(sum(coin_in) AS DOUBLE) / count(*) AS avg_coin_in FROM {hop(300, 30, 'game')} GROUP BY property_code, w")
 def slot_hopping(spark, sf):
     """Sessions are counted in two steps: rows by (window, session) combine map-side, so no set of sessions is gathered."""
-    g = gaming(spark, sf).where("session_id % 5 = 0")
+    g = gaming(spark, sf)
     per = g.groupBy("property_code", F.window("event_ts", "300 seconds", "30 seconds").alias("w"), "session_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("coin_in", "payout", "jackpot")])
     out = per.groupBy("property_code", "w").agg(F.sum("n").alias("event_count"), F.count("*").alias("session_count"), F.sum("coin_in").alias("coin_in"), F.sum("payout").alias("payout"), F.sum(win()).alias("net_win"))
     out = out.withColumn("avg_coin_in", dbl("coin_in") / F.col("event_count")).withColumn("window_end", F.col("w.end")).drop("w")
     return times(doubles(out, "coin_in", "payout", "net_win"), "window_end")
 
 
-@query("device_hopping", f"WITH {GAME} SELECT property_code, device, strftime(w + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS event_count, CAST(sum(coin_in) AS DOUBLE) AS coin_in, CAST(sum(coin_in - payout - jackpot) AS DOUBLE) AS net_win, any_value(s_name) AS device_name FROM {hop(300, 60, '(SELECT * FROM game WHERE session_id % 3 = 0)')} LEFT JOIN supplier ON device = s_suppkey GROUP BY property_code, device, w")
+@query("device_hopping", f"WITH {GAME} SELECT property_code, device, strftime(w + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS window_end, count(*) AS event_count, CAST(sum(coin_in) AS DOUBLE) AS coin_in, CAST(sum(coin_in - payout - jackpot) AS DOUBLE) AS net_win, any_value(s_name) AS device_name FROM {hop(300, 60, 'game')} LEFT JOIN supplier ON device = s_suppkey GROUP BY property_code, device, w")
 def device_hopping(spark, sf):
-    out = WIN.hopping(gaming(spark, sf).where("session_id % 3 = 0"), "event_ts", "5 minutes", "1 minute", ["property_code", "device"], {"event_count": F.count("*"), "coin_in": F.sum("coin_in"), "net_win": F.sum(win())})
+    out = WIN.hopping(gaming(spark, sf), "event_ts", "5 minutes", "1 minute", ["property_code", "device"], {"event_count": F.count("*"), "coin_in": F.sum("coin_in"), "net_win": F.sum(win())})
     ref = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("device"), F.col("s_name").alias("device_name"))
     return times(doubles(out.join(ref, "device", "left"), "coin_in", "net_win"), "window_end").drop("window_start")
 
@@ -145,9 +145,9 @@ def merge_outcomes(spark, sf):
     return M.outcomes(twice, ["key"], ORDER, "seq").groupBy("outcome").agg(F.count("*").alias("n_rows"), F.countDistinct("key").alias("n_keys"))
 
 
-@query("merge_if_newer", f"WITH {VER}, b AS (SELECT key, version, quantity FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC, quantity DESC) AS r FROM ver WHERE version <= 4) WHERE r = 1), t AS (SELECT o_orderkey AS key, 3::BIGINT AS version, -1.0::DOUBLE AS quantity FROM orders) SELECT coalesce(t.key, b.key) AS key, CASE WHEN t.key IS NULL OR b.version >= t.version THEN b.version ELSE t.version END AS version, CASE WHEN t.key IS NULL OR b.version >= t.version THEN b.quantity ELSE t.quantity END AS quantity FROM t FULL JOIN b ON t.key = b.key")
+@query("merge_if_newer", f"WITH {VER}, b AS (SELECT key, version, quantity FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC, quantity DESC) AS r FROM ver) WHERE r = 1), t AS (SELECT o_orderkey AS key, 3::BIGINT AS version, -1.0::DOUBLE AS quantity FROM orders) SELECT coalesce(t.key, b.key) AS key, CASE WHEN t.key IS NULL OR b.version >= t.version THEN b.version ELSE t.version END AS version, CASE WHEN t.key IS NULL OR b.version >= t.version THEN b.quantity ELSE t.quantity END AS quantity FROM t FULL JOIN b ON t.key = b.key")
 def merge_if_newer(spark, sf):
-    batch = versions(spark, sf).where("version <= 4").select("key", "version", "quantity")
+    batch = versions(spark, sf).select("key", "version", "quantity")
     stored = read(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.lit(3).cast("long").alias("version"), F.lit(-1.0).alias("quantity"))
     return M.apply_if_newer(stored, batch, ["key"], "version", [F.col("quantity").desc()], equal_wins=True)
 
@@ -290,3 +290,17 @@ def stream_interval_join(spark, sf):
         return WIN.interval_join(h, m, ["guest_id"], "event_ts", "mobile_ts", "10 MINUTES").select("reservation_id", "mobile_id")
 
     return run_available(spark, sf, "events", mobile, build, "append")
+
+
+@query("router_status", """WITH d AS (SELECT event_id AS arrival, event_id % 4000 AS event_id, event_type, user_id % 12 AS attempts, value > 150 AS failed FROM events),
+  r AS (SELECT *, row_number() OVER (PARTITION BY event_id, event_type <> 'error' ORDER BY arrival) AS n FROM d),
+  s AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'quarantine' WHEN event_id % 7 = 0 OR n > 1 THEN 'duplicate_ignored' WHEN NOT coalesce(failed, false) THEN 'processed' WHEN attempts + 1 >= 10 THEN 'dead_letter' ELSE 'retry' END AS status,
+    CASE WHEN event_type <> 'error' AND NOT (event_id % 7 = 0 OR n > 1) AND coalesce(failed, false) AND attempts + 1 < 10 THEN least(30.0, 0.25 * pow(2, least(attempts, 7))) END AS wait FROM r)
+  SELECT status, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS ids, sum(wait) AS wait_seconds FROM s GROUP BY 1""")
+def router_status(spark, sf):
+    """Deliveries routed by contract, ledger, and what their handler said."""
+    e = read(spark, sf, "events")
+    d = e.select(F.col("event_id").alias("arrival"), (F.col("event_id") % 4000).alias("event_id"), F.when(F.col("event_type") == "error", "UNSUPPORTED_TYPE").alias("reason"), (F.col("user_id") % 12).alias("attempts"), (F.col("value") > 150).alias("failed"))
+    ledger_rows = d.where("event_id % 7 = 0").select("event_id").distinct()
+    out = M.route_deliveries(d, ledger_rows)
+    return out.groupBy("status").agg(F.count("*").alias("n_rows"), F.sum("event_id").alias("ids"), F.sum("wait_seconds").alias("wait_seconds"))

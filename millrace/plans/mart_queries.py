@@ -300,8 +300,8 @@ def psi_drift(spark, sf):
 def time_split(spark, sf):
     seconds = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double")
     o = read(spark, sf, "orders").select(seconds.alias("s"))
-    cut = o.agg(F.percentile("s", F.lit(0.8)).alias("cut"))
-    return o.crossJoin(cut).groupBy(F.when(F.col("s") <= F.col("cut"), "train").otherwise("test").alias("part")).agg(F.count("*").alias("n_rows"))
+    cut = R.percentiles(o, "s", [0.8])
+    return o.groupBy(F.when(F.col("s") <= (cut[0] if cut else 0.0), "train").otherwise("test").alias("part")).agg(F.count("*").alias("n_rows"))
 
 
 @query("exclusive_p95", "WITH o AS (SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS m FROM lineitem), k AS (SELECT any_value(95 * (m + 1) // 100) AS j, any_value(95 * (m + 1) % 100) AS d FROM o) SELECT round(sum(CASE WHEN r = j THEN x * (100 - d) ELSE x * d END) / 100, 6) AS p95 FROM o, k WHERE r IN (j, j + 1)")
@@ -350,12 +350,10 @@ def property_distribution(spark, sf):
 @query("cutover_gate", """WITH h AS (SELECT o_custkey AS workload, o_orderkey % 3 <> 0 AS ready, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM orders), v AS (SELECT workload, count(*) AS n, bool_and(ready) FILTER (WHERE r <= 2) AS both_ready FROM h GROUP BY 1)
   SELECT workload, concat_ws(',', CASE WHEN n < 2 THEN 'TWO_VALIDATIONS_REQUIRED' WHEN NOT both_ready THEN 'RECENT_VALIDATION_FAILED' END, CASE WHEN workload % 4 = 0 THEN 'ROLLBACK_CHECKPOINT_REQUIRED' END) AS reasons, n >= 2 AND both_ready AND workload % 4 <> 0 AS approved FROM v""")
 def cutover_gate(spark, sf):
-    w = W.partitionBy("workload").orderBy(F.desc("o_orderkey"))
-    h = read(spark, sf, "orders").select(F.col("o_custkey").alias("workload"), (F.col("o_orderkey") % 3 != 0).alias("ready"), "o_orderkey").withColumn("r", F.row_number().over(w))
-    v = h.groupBy("workload").agg(F.count("*").alias("n"), F.bool_and(F.when(F.col("r") <= 2, F.col("ready"))).alias("both_ready"))
-    first = F.when(F.col("n") < 2, "TWO_VALIDATIONS_REQUIRED").when(~F.col("both_ready"), "RECENT_VALIDATION_FAILED")
-    reasons = F.concat_ws(",", first, F.when(F.col("workload") % 4 == 0, "ROLLBACK_CHECKPOINT_REQUIRED"))
-    return v.select("workload", reasons.alias("reasons"), (reasons == "").alias("approved"))
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("workload"), F.lit("VALIDATED").alias("event"), (F.col("o_orderkey") % 3 != 0).alias("ready"), F.lit(None).cast("map<string,string>").alias("note"))
+    points = o.where("workload % 4 <> 0").withColumns({"event": F.lit("CHECKPOINT"), "ready": F.lit(None).cast("boolean"), "note": F.create_map(F.lit("route"), F.lit("old"))})
+    decided = control.cutover_decision(control.migration_state(o.unionByName(points)))
+    return decided.select("workload", F.array_join("reasons", ",").alias("reasons"), "approved")
 
 
 @query("migration_summary", f"WITH {WORKLOADS}, e AS (SELECT l_partkey AS workload_id, count(*) AS evidence_count FROM lineitem GROUP BY 1) SELECT workload_id, {RISK} AS risk_score, {PATTERN} AS pattern, coalesce(evidence_count, 0) AS evidence_count FROM w LEFT JOIN e USING (workload_id) ORDER BY risk_score DESC, workload_id")
@@ -368,9 +366,9 @@ def migration_summary(spark, sf):
 
 @query("cutover_checklist", "SELECT o_orderkey AS run, CASE WHEN o_orderkey % 9 = 0 THEN 19 ELSE 20 END AS passed, o_orderkey % 9 <> 0 AS all_passed FROM orders")
 def cutover_checklist(spark, sf):
-    results = F.create_map(*[x for c in control.CUTOVER_CHECKS for x in (F.lit(c), F.lit(True) if c != "checksums_match" else F.col("o_orderkey") % 9 != 0)])
-    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), results.alias("checks"))
-    return o.select("run", F.size(F.filter(F.map_values("checks"), lambda x: x)).alias("passed"), F.forall(F.map_values("checks"), lambda x: x).alias("all_passed"))
+    each = read(spark, sf, "orders").select(F.col("o_orderkey").alias("run"), F.explode(F.array(*[F.lit(c) for c in control.CUTOVER_CHECKS])).alias("check"))
+    results = each.withColumn("done", (F.col("check") != "checksums_match") | (F.col("run") % 9 != 0))
+    return control.checklist(results).drop("missing")
 
 
 @query("dbt_tests", "SELECT 'not_null_guest' AS test, count(*) FILTER (WHERE event_id % 10 = 0) AS violations FROM events WHERE event_type IN ('purchase', 'signup') UNION ALL SELECT 'unique_order', 0 UNION ALL SELECT 'unique_order_in_lines', (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1))")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import signal
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +20,7 @@ from ..operators.control import SnapshotTable
 from ..operators.merge import snapshot
 from ..sources.readers import SourceSpec, add_source_metadata, read_stream
 from ..sources.writers import write_history
+from .health import progress, with_health
 
 
 @dataclass(frozen=True)
@@ -83,21 +87,65 @@ def merge_batch(spec: QuerySpec, target: SnapshotTable) -> Callable[[DataFrame,
     return run
 
 
+def late_batch(spec: QuerySpec, seen: SnapshotTable) -> Callable[[DataFrame, int], None]:
+    """foreachBatch: valid events that are older than the watermark of the batches before go to the late zone, as the clean query drops them unseen.
+
+    The greatest event time is a snapshot by batch id, so a batch that is retried is measured as it was the first time.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        now = seen.version()
+        if now is not None and batch_id <= now:
+            return
+        before = None if now is None else seen.read().first()["high"]
+        delay = int(batch.sparkSession.sql(f"SELECT CAST(INTERVAL {spec.watermark} AS INTERVAL DAY TO SECOND) AS d").first()["d"].total_seconds() * 1000)
+        valid = batch.where("_dq_valid")
+        _, late = split_late(valid, "event_ts", None if before is None else before - delay)
+        write_history(late, spec.path("late"), batch_id)
+        high = valid.agg(F.max(F.unix_millis("event_ts"))).first()[0]
+        highs = [h for h in (before, high) if h is not None]
+        if highs:
+            seen.replace(batch_id, lambda _: batch.sparkSession.createDataFrame([(max(highs),)], "high long"))
+
+    return run
+
+
+def retrying(step: Callable[[DataFrame, int], None], dead_letters: str, attempts: int = 10, wait: Callable[[float], None] = time.sleep) -> Callable[[DataFrame, int], None]:
+    """foreachBatch that runs step again after an error, waiting twice as long each time up to 30 seconds; after the last attempt the batch
+    goes to dead_letters under its id, with the error, and the stream goes on."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        for attempt in range(attempts):
+            try:
+                return step(batch, batch_id)
+            except Exception as e:  # whatever a step or its sink raises
+                error = str(e)
+                if attempt + 1 < attempts:
+                    wait(min(30.0, 0.25 * 2**attempt))
+        write_history(batch.withColumns({"_error": F.lit(error[:2_000]), "_attempts": F.lit(attempts)}), dead_letters, batch_id)
+
+    return run
+
+
 def append(df: DataFrame, path: str, checkpoint: str, name: str, spec: QuerySpec, partition: str | None = None) -> StreamingQuery:
     writer = df.writeStream.format("parquet").outputMode("append").queryName(name).option("checkpointLocation", checkpoint).option("path", path)
     return _trigger(writer.partitionBy(partition) if partition else writer, spec).start()
 
 
 def start(spark: SparkSession, spec: QuerySpec) -> list[StreamingQuery]:
-    """Raw, clean, quarantine and canonical merge, each with a checkpoint of its own."""
+    """Raw, clean, quarantine, late and canonical merge, each with a checkpoint of its own; a batch whose merge fails ten times goes to dead letters."""
     validate(spec)
     stream = validated(spark, spec)
-    merged = clean(stream, spec).writeStream.foreachBatch(merge_batch(spec, SnapshotTable(spark, spec.path("merge")))).queryName(f"{spec.name}_merge").option("checkpointLocation", spec.checkpoint("merge"))
+
+    def each(df: DataFrame, part: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
+        return _trigger(df.writeStream.foreachBatch(step).queryName(f"{spec.name}_{part}").option("checkpointLocation", spec.checkpoint(part)), spec).start()
+
     return [
         append(add_source_metadata(read_stream(spark, spec.source)), spec.path("raw"), spec.checkpoint("raw"), f"{spec.name}_raw", spec),
         append(clean(stream, spec), spec.path("clean"), spec.checkpoint("clean"), f"{spec.name}_clean", spec, "business_date"),
         append(quarantined(stream), spec.path("quarantine"), spec.checkpoint("quarantine"), f"{spec.name}_quarantine", spec, "_dq_reason"),
-        _trigger(merged, spec).start(),
+        each(stream, "late", late_batch(spec, SnapshotTable(spark, spec.path("late_marks")))),
+        each(clean(stream, spec), "merge", retrying(merge_batch(spec, SnapshotTable(spark, spec.path("merge"))), spec.path("dead_letters"))),
     ]
 
 
@@ -141,16 +189,27 @@ class Supervisor:
         for _, q in self.queries.values():
             q.awaitTermination()
 
-    def snapshots(self) -> dict[str, dict | None]:
-        from .health import parse_progress
-
-        return {n: parse_progress(n, dict(q.lastProgress)) if q.lastProgress else None for n, (_, q) in self.queries.items()}
-
-    def health(self) -> dict[str, tuple[str, tuple[str, ...]]]:
-        from .health import evaluate_health
-
-        shots = self.snapshots()
-        return {n: evaluate_health(shots[n], q.isActive, spec.max_batch_seconds, spec.max_lag_seconds) for n, (spec, q) in self.queries.items()}
+    def watch(self, seconds: float = 5.0, stop_on: tuple[int, ...] = (signal.SIGTERM, signal.SIGINT)) -> dict[str, str]:
+        """Waits for any query to end: (name -> error) of those that failed, after the others have been stopped. Signals stop all, too. For the main thread."""
+        told = threading.Event()
+        before = {s: signal.signal(s, lambda *_: told.set()) for s in stop_on}
+        try:
+            while not told.is_set() and any(q.isActive for _, q in self.queries.values()):
+                failed = {n: str(q.exception()) for n, (_, q) in self.queries.items() if not q.isActive and q.exception()}
+                if failed:
+                    break
+                told.wait(seconds)
+        finally:
+            for s, handler in before.items():
+                signal.signal(s, handler)
+            self.stop()
+        return {n: str(q.exception()) for n, (_, q) in self.queries.items() if q.exception()}
+
+    def health(self, as_of: Column | None = None) -> DataFrame:
+        """A row for each query: its figures, state and why."""
+        rows = [(n, q.isActive, json.dumps(dict(q.lastProgress), default=str) if q.lastProgress else None, spec.max_batch_seconds, spec.max_lag_seconds) for n, (spec, q) in self.queries.items()]
+        reports = self.spark.createDataFrame(rows, "query_name string, active boolean, report string, max_batch_seconds double, max_lag_seconds double")
+        return with_health(progress(reports), F.current_timestamp() if as_of is None else as_of).drop("report")
 
     def stop(self, seconds: float = 60.0) -> list[str]:
         """Names of the queries that were still running at the deadline."""

@@ -87,21 +87,49 @@ def test_incremental_run_commits_after_reconciling():
     assert control.incremental_run("p", store, lambda: 10, lambda low, high: {"source": 3, "applied": 2, "stale": 1}).status == "SUCCEEDED" and store.read("p") == 10
 
 
-def test_migration_registry():
-    r = control.MigrationRegistry({"a": (), "b": ("a",)})
-    with pytest.raises(RuntimeError):
-        r.advance("b", "READY")
-    for s in ("READY", "MIGRATING", "DUAL_RUN"):
-        r.advance("a", s)
-    r.validate("a", True)
-    assert r.cutover("a") == (False, ("TWO_VALIDATIONS_REQUIRED", "ROLLBACK_CHECKPOINT_REQUIRED"))
-    r.validate("a", True)
-    r.checkpoint("a", previous="x", new="y")
-    assert r.cutover("a") == (True, ()) and r.rollback("a") == {"previous": "x", "new": "y"}
-
-
-def test_checklist_has_twenty_checks():
-    assert len(control.CUTOVER_CHECKS) == 20 and not all(control.checklist({}).values()) and all(control.checklist(dict.fromkeys(control.CUTOVER_CHECKS, 1)).values())
+def migration_log(spark, events):
+    return spark.createDataFrame([(i, *e, None, None)[:3] + (e[2] if len(e) > 2 else None, {"route": "old"} if e[1] == "CHECKPOINT" else None) for i, e in enumerate(events)], control.MIGRATION_LOG)
+
+
+def test_migration_log(spark):
+    events = [("a", "READY"), ("b", "MIGRATING"), ("a", "MIGRATING"), ("a", "DUAL_RUN"), ("a", "VALIDATED", False), ("a", "VALIDATED", True), ("a", "VALIDATED", True), ("a", "CHECKPOINT"), ("a", "CUTOVER"), ("a", "COMPLETE"), ("c", "VALIDATED", True), ("d", "VALIDATED", True), ("d", "VALIDATED", False)]
+    log = migration_log(spark, events)
+    assert [(r.workload, r.event) for r in control.migration_history(log).where("refused").collect()] == [("b", "MIGRATING")]
+    assert [r.state for r in control.migration_history(log).where("workload = 'a'").orderBy("seq").collect()][-4:] == ["VALIDATING", "VALIDATING", "CUTOVER", "COMPLETE"]
+    out = {r.workload: r for r in control.cutover_decision(control.migration_state(log)).collect()}
+    assert out["a"].approved and out["a"].state == "COMPLETE" and out["a"].rollback == {"route": "old"} and out["a"].validations == 3
+    assert out["b"].reasons == ["TWO_VALIDATIONS_REQUIRED", "ROLLBACK_CHECKPOINT_REQUIRED"] and out["c"].reasons == out["b"].reasons
+    assert out["d"].reasons == ["RECENT_VALIDATION_FAILED", "ROLLBACK_CHECKPOINT_REQUIRED"]
+
+
+def test_checklist_has_twenty_checks(spark):
+    rows = [(1, c, True) for c in control.CUTOVER_CHECKS] + [(2, c, c != "checksums_match" or None) for c in control.CUTOVER_CHECKS] + [(3, "unknown", True)]
+    out = {r.run: r for r in control.checklist(spark.createDataFrame(rows, "run int, check string, done boolean")).collect()}
+    assert len(control.CUTOVER_CHECKS) == 20 and [(out[i].passed, out[i].all_passed) for i in (1, 2, 3)] == [(20, True), (19, False), (0, False)]
+    assert out[2].missing == ["checksums_match"]
+
+
+def test_a_commit_that_fails_leaves_the_position(spark, tmp_path, monkeypatch):
+    store = control.CheckpointStore(control.SnapshotTable(spark, f"file://{tmp_path}/c"))
+    store.commit("p", 5)
+    monkeypatch.setattr(control.SnapshotTable, "replace", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.commit("p", 9)
+    assert store.read("p") == 5
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(data=st.lists(st.floats(-1e300, 1e300) | st.integers(-3, 3).map(float) | st.none(), min_size=1, max_size=60))
+def test_order_statistics_are_exact(spark, data):
+    kept = sorted(x for x in data if x is not None)
+    df = spark.createDataFrame([(x,) for x in data], "x double")
+    ranks = sorted({0, len(kept) // 3, len(kept) - 1}) if kept else []
+    assert not kept or R.order_statistics(df, "x", ranks) == [kept[r] for r in ranks]
+
+
+def test_order_statistics_of_narrow_and_odd_numbers(spark):
+    xs = [0.0, 5e-324, 1e-323, 1.0, 1.0 + 2**-52, float("nan"), float("inf"), None]
+    assert R.order_statistics(spark.createDataFrame([(x,) for x in xs], "x double"), "x", range(5)) == xs[:5]
 
 
 def test_dag_skips_what_needs_a_failure():

@@ -52,7 +52,7 @@ def test_group_twice_and_replay(spark, spec):
     read = lambda zone: spark.read.parquet(spec.path(zone))
     assert (read("raw").count(), read("clean").count(), read("quarantine").count()) == (6, 2, 3)
     assert {r._business_key: r.event_id for r in SnapshotTable(spark, spec.path("merge")).read().collect()} == {"k1": "1", "k2": "2"}
-    assert set(group.health()) == {"plays_raw", "plays_clean", "plays_quarantine", "plays_merge"} and group.stop() == []
+    assert {r.query_name for r in group.health().collect()} == {"plays_raw", "plays_clean", "plays_quarantine", "plays_late", "plays_merge"} and group.stop() == []
     (tmp / "in" / "b.txt").write_text(event(5) + "\n" + event(1) + "\n")
     run(spark, spec)
     merged = {r._business_key: r.event_id for r in SnapshotTable(spark, spec.path("merge")).read().collect()}
@@ -76,25 +76,69 @@ def test_late_rows_have_a_reason(spark):
     assert [r.n for r in good.collect()] == [2] and [(r.n, r._dq_reason) for r in late.collect()] == [(1, "LATE_EVENT")]
 
 
-def test_capped_sessions_in_a_stream(spark, tmp_path):
-    times = [0, 100, 200, 300, 1000, 5000]
-    at = dt.datetime(2024, 1, 1)
-    spark.createDataFrame([("g", at + dt.timedelta(seconds=t)) for t in times], "key string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
-    s = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withWatermark("ts", "1 second")
-    proc = W.CappedSessionProcessor(300, 250)
-    out = s.groupBy("key").applyInPandasWithState(proc, "key string, session_start timestamp, session_end timestamp, event_count long", "start long, end long, n long", "append", "EventTimeTimeout")
+def test_capped_sessions_in_a_stream_equal_batch(spark, tmp_path):
+    """All sessions of many keys, in files whose events overlap in time; a far event closes what came before it."""
+    import random
+
+    r, at = random.Random(3), dt.datetime(2024, 1, 1)
+    times = {"g": [0, 100, 200, 300, 520, 820, 1121, 5000]} | {f"k{i}": sorted(r.sample(range(9_000), 40)) for i in range(6)}
+    rows = [(k, at + dt.timedelta(seconds=t)) for k, ts in times.items() for t in ts]
+    for n in range(3):
+        part = sorted((x for x in rows if n * 3_000 <= (x[1] - at).total_seconds() < (n + 1) * 3_000), key=lambda _: r.random())
+        spark.createDataFrame(part, "key string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    spark.createDataFrame([("end", at + dt.timedelta(days=9))], "key string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    s = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").withWatermark("ts", "4000 seconds")
+    out = s.groupBy("key").applyInPandasWithState(W.CappedSessionProcessor(300, 250), W.CappedSessionProcessor.OUTPUT, W.CappedSessionProcessor.STATE, "append", "EventTimeTimeout")
     out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    got = sorted((r.session_start, r.event_count) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    batch = W.capped_sessions(spark.read.parquet(f"{tmp_path}/in"), "ts", 300, 250, ["key"], {"n": F.count("*")})
-    assert got[:3] == sorted((r.session_start, r.n) for r in batch.collect())[:3]
+    got = sorted((x.key, x.session_start, x.session_end, x.event_count) for x in spark.read.parquet(f"{tmp_path}/out").collect())
+    batch = W.capped_sessions(spark.createDataFrame(rows, "key string, ts timestamp"), "ts", 300, 250, ["key"], {"n": F.count("*")})
+    assert got == sorted((x.key, x.session_start, x.session_end, x.n) for x in batch.collect()) and len(got) > 60
+
+
+def test_health(spark):
+    report = {"batchId": 1, "numInputRows": 5, "inputRowsPerSecond": 10.0, "processedRowsPerSecond": 5.0, "durationMs": {"a": 130_000, "b": "x"}, "eventTime": {"watermark": "2024-01-01T00:00:00Z"}, "stateOperators": [{"numRowsTotal": 1}, {"numRowsTotal": 2, "numRowsUpdated": None}]}
+    rows = [("slow", True, json.dumps(report), 120.0, 60.0), ("fine", True, json.dumps(report), 140.0, None), ("new", True, None, 1.0, None), ("off", False, json.dumps(report), 1.0, None), ("bad", True, "{", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "query_name string, active boolean, report string, max_batch_seconds double, max_lag_seconds double")
+    out = {r.query_name: r for r in health.with_health(health.progress(df), F.lit("2024-01-01 01:00:00").cast("timestamp")).collect()}
+    assert (out["slow"].batch_duration_ms, out["slow"].state_rows_total, out["slow"].state_rows_updated, out["slow"].input_rows) == (130_000, 3, 0, 5)
+    assert out["slow"].why == ["INPUT_OUTRUNS_PROCESSING", "TRIGGER_SLOW", "WATERMARK_LAGS"] and out["fine"].why == ["INPUT_OUTRUNS_PROCESSING"]
+    assert [out[n].state for n in ("slow", "fine", "new", "off", "bad")] == ["DEGRADED", "DEGRADED", "STARTING", "STOPPED", "ACTIVE"]
+
+
+def test_late_events_go_to_their_zone(spark, spec):
+    spec, tmp = text_schema(spec[0]), spec[1]
+    for name, events in (("a", [event(1), event(59)]), ("b", [event(2), event(55)])):
+        (tmp / "in" / f"{name}.txt").write_text("\n".join(events) + "\n")
+        run(spark, spec)
+    assert [(r.event_id, r._dq_reason) for r in spark.read.parquet(spec.path("late")).collect()] == [("2", "LATE_EVENT")]
+
+
+def test_a_batch_that_fails_is_retried_and_then_a_dead_letter(spark, tmp_path):
+    calls, waits = [], []
 
+    def step(batch, batch_id):
+        calls.append(batch_id)
+        if batch_id == 2 or len(calls) < 3:
+            raise RuntimeError("sink is down")
 
-def test_health():
-    p = health.parse_progress("q", {"batchId": 1, "numInputRows": 5, "inputRowsPerSecond": 10.0, "processedRowsPerSecond": 5.0, "durationMs": {"a": 130_000, "b": "x"}, "eventTime": {"watermark": "2024-01-01T00:00:00Z"}, "stateOperators": [{"numRowsTotal": 3, "numRowsUpdated": 1}, None]})
-    assert p["batch_duration_ms"] == 130_000 and p["state_rows_total"] == 3
-    state, why = health.evaluate_health(p, True, max_lag_seconds=60, now=dt.datetime(2024, 1, 1, 1, tzinfo=dt.UTC))
-    assert state == "DEGRADED" and len(why) == 3
-    assert health.evaluate_health(p, False)[0] == "STOPPED" and health.evaluate_health(None, True)[0] == "STARTING"
+    run_ = Q.retrying(step, f"file://{tmp_path}/dead", attempts=4, wait=waits.append)
+    run_(spark.range(2), 1)
+    assert calls == [1, 1, 1] and waits == [0.25, 0.5]
+    run_(spark.range(3), 2)
+    dead = spark.read.parquet(f"{tmp_path}/dead")
+    assert calls[3:] == [2] * 4 and dead.count() == 3 and {(r._attempts, r._stream_batch_id) for r in dead.collect()} == {(4, 2)}
+
+
+def test_supervisor_stops_the_rest_when_one_fails(spark, spec):
+    from dataclasses import replace
+
+    spec, _ = replace(text_schema(spec[0]), trigger="1 second"), spec[1]
+    group = Q.Supervisor(spark, [spec])
+    group.start()
+    bad = spark.readStream.format("rate").load().writeStream.queryName("bad").foreachBatch(lambda b, i: 1 / 0).start()
+    group.queries["bad"] = (spec, bad)
+    failed = group.watch(seconds=0.2)
+    assert list(failed) == ["bad"] and not any(q.isActive for _, q in group.queries.values())
 
 
 def test_default_specs_and_windows(spark):
@@ -152,7 +196,17 @@ def test_modernisation_improves_p95(spark):
     assert row.latency_improvement_pct > 0 and row.additional_offer_responses > 0
 
 
+def test_simulation_follows_its_seed_alone(spark):
+    base = twin.scenarios(spark, [{"name": "a"}, {"name": "b", "outage_minutes": 60}])
+    rows = {(r.name, r.seed): r for r in twin.simulate(base, hours=6, seeds=(1, 2)).collect()}
+    again = {(r.name, r.seed): r for r in twin.simulate(base.repartition(5), hours=6, seeds=(1, 2)).collect()}
+    assert rows == again and rows["a", 1].reservations == rows["b", 1].reservations != rows["a", 2].reservations
+    assert abs(rows["a", 1].gaming_sessions / 6 - 900) < 300 and rows["a", 1].lost_events == 0 < rows["b", 1].lost_events
+    assert 45 < rows["a", 1].mean_latency < 240 < rows["a", 1].p95_latency
+
+
 def test_value_model(spark):
     df = spark.range(400).select(F.col("id").alias("t"), (F.col("id") % 17).cast("double").alias("x"), ((F.col("id") % 17) * 2.0).alias("y"))
-    _, mae, r2 = twin.train_value_model(df, ["x"], "y", "t")
+    df = df.unionByName(spark.createDataFrame([(3, None, 0.0)], "t long, x double, y double"))
+    _, mae, r2 = twin.train_value_model(df, ["x"], "y", "t", rounds=12, step=0.3)
     assert mae < 2 and r2 > 0.9

@@ -7,6 +7,8 @@ substring for each span, so time that goes with the length times the spans.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ CONTEXT_WORDS = 4
 CONTEXT = r"^(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){0,%d}+" % CONTEXT_WORDS
 #: Share of a class's information that a term must disclose.
 THRESHOLD = 0.5
+#: Bounds on counts are kept this much wide of the exact ones, as they are computed in floating point.
+SLACK = 1 + 1e-9
 #: Parts of a text that positions takes at a time.
 BLOCK = 512
 
@@ -159,35 +163,53 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return table(d.select("row", "id", "base", "masked", "words", met.alias("met")), "found")
 
 
+def _met(found: DataFrame) -> DataFrame:
+    """(row, class, context): a row for each document and class in it."""
+    return found.where(F.size("base") > 0).select("row", F.explode("met").alias("m")).select("row", "m.class", "m.context")
+
+
+def _words(found: DataFrame) -> DataFrame:
+    """(row, term): a row for each different term of a document with personal data."""
+    return found.where(F.size("base") > 0).select("row", F.explode("words").alias("term"))
+
+
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """(class, term, n_met, n_term, n_class, disclosure) of the pairs over the threshold, by documents of the whole corpus.
 
     A term meets all classes of the documents that it is in, wherever both stand. With p = n_met / n_term, the share of the term's
     documents that have the class, and q = n_class / D: disclosure = PMI / IC = log(p / q) / log(1 / q), 1 where the term occurs
-    with the class alone. n_met counts different contexts of the class, so that copies of a passage are one.
+    with the class alone. n_met is the effective number of the class's contexts in documents with the term, (sum n)^2 / sum n^2 over contexts in n
+    documents: all of them where each is different, about one where copies of a passage outnumber the rest, however their edges were edited.
 
     A share of few documents may be chance. The evidence, n_term KL(p, q) in bits, has to be more than the bits that name one of all
     (term, class) meetings, log M: so less than about one pair is taken by chance, whatever the size of the corpus, and there is no least count.
-    Evidence is at most n_met log(1 / q). Classes, and then pairs, that cannot have enough are left out before they are counted
-    by context, without loss. All counts have partial aggregates before their shuffle, and terms of the corpus are counted where they are in a pair.
+    Evidence is at most n_met log(1 / q), and a share p that discloses enough is at least q ^ (1 - threshold), so a term of a pair is in at most
+    n_class ^ threshold D ^ (1 - threshold) documents. Classes and terms that cannot reach that are left out before pairs are made, without loss:
+    words that stand once, and words that stand everywhere. All counts have partial aggregates before their shuffle.
     """
     sizes = found.agg(F.count("*"), F.sum(F.size("words").cast("double") * F.size("met"))).first()
-    total, needed = float(sizes[0]), F.log2(F.greatest(F.lit(2.0), F.lit(float(sizes[1] or 0))))
+    total, needed = float(sizes[0]), math.log2(max(2.0, float(sizes[1] or 0)))
     ic = F.log2(F.lit(total) / F.col("n_class"))
-    met = found.where(F.size("base") > 0).select("row", F.explode("met").alias("m")).select("row", "m.class", "m.context")
+    most = F.pow(F.col("n_class").cast("double"), F.lit(threshold)) * total ** (1 - threshold)
+    met, words = _met(found), _words(found)
     classes = met.groupBy("class", "context").agg(F.count("*").alias("n")).groupBy("class").agg(F.sum("n").alias("n_class"), F.count("*").alias("contexts"))
-    classes = table(classes.where((F.col("n_class") < total) & (F.col("contexts") * ic > needed)).select("class", "n_class"), "classes", small=True)
-    each = found.where(F.size("base") > 0).select("words", F.explode("met").alias("m")).select("words", "m.class", "m.context")
-    each = likely(each, classes, ["class"]).select("class", "context", F.explode("words").alias("term"))
-    pairs = each.groupBy("class", "term").agg(F.count("*").alias("documents")).join(classes, "class").where(F.col("documents") * ic > needed)
-    pairs = table(pairs.select("class", "term", "n_class"), "pairs", small=True)
-    counted = likely(each, pairs, ["class", "term"]).groupBy("class", "term", "context").agg(F.lit(1).alias("n")).groupBy("class", "term").agg(F.count("*").alias("n_met"))
-    terms = table(pairs.select("term").distinct(), "terms", small=True)
-    words = docs.select(F.explode(terms_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("term"))
-    n_term = likely(words, terms, ["term"]).groupBy("term").agg(F.count("*").alias("n_term"))
-    out = pairs.join(counted, ["class", "term"]).join(n_term, "term", "left")
-    # a term that is one only beside a masked span can be in fewer texts than it has met classes
-    out = out.withColumn("n_term", F.greatest(F.coalesce("n_term", F.lit(0)), "n_met"))
+    classes = table(classes.where((F.col("n_class") < total) & (F.col("contexts") * ic > needed)).select("class", "n_class", ic.alias("ic"), most.alias("most")), "classes", small=True)
+    best, longest = classes.agg(F.max("ic"), F.max("most")).first()
+    # terms that could be in a pair: in enough documents with personal data, and in few enough of the corpus
+    some = words.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") * (best or 0.0) > needed)
+    some = table(some.select("term"), "some", small=True)
+    corpus = docs.select(F.explode(terms_of(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).alias("term"))
+    n_term = likely(corpus, some, ["term"]).groupBy("term").agg(F.count("*").alias("n_term"))
+    # a term that is one only beside a masked span is in no text of its own: its count is raised below
+    terms = some.join(n_term, "term", "left").select("term", F.coalesce("n_term", F.lit(0)).alias("n_term")).where(F.col("n_term") <= SLACK * (longest or 0.0))
+    terms = table(terms, "terms", small=True)
+    held = likely(words, terms, ["term"]).join(terms, "term")
+    known = likely(met, classes, ["class"]).join(classes, "class")
+    each = held.join(known, "row").where(F.col("n_term") <= SLACK * F.col("most")).select("class", "term", "context", "n_class", "n_term")
+    counted = each.groupBy("class", "term", "context").agg(F.count("*").alias("n"), F.max("n_class").alias("n_class"), F.max("n_term").alias("n_term"))
+    n = F.col("n").cast("double")
+    out = counted.groupBy("class", "term").agg((F.sum(n) * F.sum(n) / F.sum(n * n)).alias("n_met"), F.max("n_class").alias("n_class"), F.max("n_term").alias("n_term"))
+    out = out.withColumn("n_term", F.greatest("n_term", "n_met"))
     p, q = F.col("n_met") / F.col("n_term"), F.col("n_class") / F.lit(total)
     rest = F.when(p < 1, (1 - p) * F.log2((1 - p) / (1 - q))).otherwise(0.0)
     evidence = F.col("n_term") * (p * F.log2(p / q) + rest)
@@ -199,9 +221,9 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Dat
     """pii_spans, with row: the place of each row of docs, which is settled."""
     found = _found(docs, id_col, text_col)
     marked = table(disclosing(docs, found, text_col, threshold).select("class", "term"), "marked", small=True)
-    held = found.where(F.size("base") > 0).select("row", "words", F.explode("met").alias("m")).select("row", "words", "m.class")
-    held = likely(held, marked, ["class"]).select("row", "class", F.explode("words").alias("term"))
-    marks = likely(held, marked, ["class", "term"]).join(marked, ["class", "term"]).groupBy("row").agg(F.collect_set("term").alias("marks"))
+    held = likely(_words(found), marked, ["term"]).join(marked, "term")
+    met = likely(_met(found), marked, ["class"]).select("row", "class")
+    marks = held.join(met, ["row", "class"]).groupBy("row").agg(F.collect_set("term").alias("marks"))
     marks = table(marks, "marks", small=True)
     every = positions(F.col("masked"), TERM, matches(F.col("masked"), TERM), lambda v: F.array_contains(F.col("marks"), F.lower(v)))
     more = F.transform(every, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))

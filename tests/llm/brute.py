@@ -143,11 +143,13 @@ def disclosing(texts: list, threshold: float) -> dict:
         for c, context in firsts.items():
             n_class[c] = n_class.get(c, 0) + 1
             for t in terms:
-                met.setdefault((c, t), set()).add(context)
+                met.setdefault((c, t), []).append(context)
     out = {}
     for (c, t), contexts in met.items():
-        n = max(n_term.get(t, 0), len(contexts))
-        p, q = len(contexts) / n, n_class[c] / len(texts)
+        times = [contexts.count(x) for x in set(contexts)]
+        n_met = sum(times) ** 2 / sum(k * k for k in times)
+        n = max(n_term.get(t, 0), n_met)
+        p, q = n_met / n, n_class[c] / len(texts)
         if q < p:
             evidence = n * (p * math.log2(p / q) + ((1 - p) * math.log2((1 - p) / (1 - q)) if p < 1 else 0))
             disclosure = math.log2(p / q) / math.log2(1 / q)

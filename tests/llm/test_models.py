@@ -409,6 +409,63 @@ def test_word_vectors_are_neighbours_index_vectors(spark):
     assert np.allclose(got[seen], unit - unit.mean(axis=0), atol=1e-6)
 
 
+def test_grams_are_the_character_grams():
+    """Equal grams, and as good as no others, share a bucket; a text has each once."""
+    texts = ["Ab  ab\tÄb", "xyz", "", "ab"]
+    owner, bucket = toxicity.present(texts)
+    of = lambda gram: set(toxicity.grams([gram])[1].tolist())
+    for i, text in enumerate(texts):
+        folded = " " + " ".join(text.lower().split()) + " "
+        plain = {folded[k:k + n] for n in (3, 4, 5) for k in range(len(folded) - n + 1)}
+        assert len(bucket[owner == i]) == len(plain)
+    assert set(bucket[owner == 3].tolist()) < set(bucket[owner == 0].tolist()) | of("ab")
+
+
+def test_log_count_ratios_by_hand():
+    counts = np.zeros((2, 8))
+    counts[:, 0], counts[:, 1], counts[:, 2] = (2, 20), (20, 2), (3, 3)
+    ratio, wanted = toxicity.log_count_ratios(counts)
+    total = counts.sum(axis=1) + 8
+    assert ratio[0] == pytest.approx(np.log(21 / total[1]) - np.log(3 / total[0])) and wanted.tolist()[:3] == [True, True, False]
+
+
+def written(spark, folder, docs, labels=None):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    if labels:
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize(("name", "cut", "column"), [("op1_quality", 0.3, 1), ("op3_toxicity", 0.5, 2)])
+def test_classifier_queries_keep_their_contract(spark, tmp_path, name, cut, column):
+    docs, labels = labelled_rows(400)
+    folder = written(spark, tmp_path, [(i, t, "en", "s") for i, t in docs] + [(9000, None, None, None), (9001, "", None, None)], labels)
+    out = QUERIES[name](spark, folder)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == [*range(400), 9000, 9001]
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= cut) and r.held_out == (brute.crc_mod(r.doc_id, 5) == 0) for r in rows)
+    truth = {x[0]: x[column] for x in labels}
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) >= 0.9
+
+
+def test_op4_op5_and_op7_keep_their_contracts(spark, tmp_path):
+    r = random.Random(21)
+    docs = [(i, prose(r, r.randrange(1, 60)), "en", "s") for i in range(30)] + [(40, None, None, None), (41, "1 2", "en", "s"), (42, prose(r, 900), "en", "s")]
+    docs += [(50, docs[3][1].upper(), "en", "s"), (51, docs[42 - 10][1] + " tail", "en", "s")]
+    folder = written(spark, tmp_path, docs)
+    language_rows = QUERIES["op4_language"](spark, folder)
+    assert dict(language_rows.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}
+    assert all(x.held_out == (brute.crc_mod(x.doc_id, 4) == 2) and (x.lang_pred == "und") == (x.doc_id in (40, 41)) for x in language_rows.collect())
+    packed_rows = QUERIES["op5_pack"](spark, folder)
+    assert {k: v for k, v in packed_rows.dtypes if k != "piece"} == dict.fromkeys(("start", "length", "ids_crc32", "sequence_id", "offset", "doc_id"), "bigint") and dict(packed_rows.dtypes)["piece"] == "int"
+    assert_packs(packed_rows.withColumnRenamed("doc_id", "id").collect(), [(d[0], d[1]) for d in docs], 1024)
+    joined = QUERIES["op7_jaccard_join"](spark, folder)
+    assert dict(joined.dtypes) == dict.fromkeys(("doc_id", "n_shingles", "component_id"), "bigint")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in joined.collect()} == brute.jaccard_components([(d[0], d[1]) for d in docs])
+
+
 # --- pipeline ----------------------------------------------------------------------
 
 

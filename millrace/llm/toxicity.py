@@ -22,7 +22,9 @@ ORDERS, BITS = (3, 4, 5), 19
 #: The classifier's bound: labelled rows it is fitted on, about, half of each class.
 SAMPLE = 8_000
 #: Features in as many sampled texts at least, and so many of them, those that tell the classes apart best.
-LEAST_TEXTS, FEATURES = 8, 3_000
+LEAST_TEXTS, FEATURES = 5, 5_000
+#: A feature's value is the logarithm of one more than its occurrences in so many characters; so many are added to a text's length, lest one in a short text weighs all.
+PER, LENGTH_PRIOR = 1_000, 50
 #: Texts at a time.
 BATCH = 200
 CUT = 0.5
@@ -44,16 +46,23 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(owners), np.concatenate(buckets).astype(np.int64)) if buckets else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def present(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The different (text, bucket), only of wanted buckets if given; a feature is there or not."""
+def present(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different (text, bucket)."""
     owner, bucket = grams(texts)
-    if wanted is not None:
-        keep = wanted[bucket]
-        owner, bucket = owner[keep], bucket[keep]
     key = np.unique(owner << BITS | bucket)
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
+def densities(texts: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, value) of the wanted buckets: how densely a text has a feature, as a long text has nearly all of them somewhere."""
+    owner, bucket = grams(texts)
+    length = np.bincount(owner, minlength=len(texts)) / len(ORDERS)
+    keep = wanted[bucket]
+    key, n = np.unique(owner[keep] << BITS | bucket[keep], return_counts=True)
+    owner = key >> BITS
+    return owner, key & ((1 << BITS) - 1), np.log1p(PER * n / (length[owner] + LENGTH_PRIOR))
+
+
 class Model:
     """Weights by bucket, the log-count ratio of a feature times its learned weight, and an intercept."""
 
@@ -62,8 +71,8 @@ class Model:
         self.wanted = weights != 0
 
     def probability(self, texts: list[str]) -> np.ndarray:
-        owner, bucket = present(texts, self.wanted)
-        logit = self.intercept + np.bincount(owner, self.weights[bucket], minlength=len(texts))
+        owner, bucket, value = densities(texts, self.wanted)
+        logit = self.intercept + np.bincount(owner, value * self.weights[bucket], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
@@ -77,7 +86,7 @@ def log_count_ratios(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ratio, (worth > 0) & (worth >= cut)
 
 
-def regress(owner: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, columns: int, l2: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+def regress(owner: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, weight: np.ndarray, columns: int, l2: float = 2e-3, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse rows by full-batch Adam: weights and intercept."""
     w, b = np.ones(columns) * 0.01, 0.0
     m, v = np.zeros(columns + 1), np.zeros(columns + 1)
@@ -118,11 +127,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at:at + BATCH]
-                owner, bucket = present(part["text"].tolist(), wanted)
-                parts = np.split(bucket.astype(np.int32), np.searchsorted(owner, np.arange(1, len(part))))
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "label": part["label"].to_numpy(), "weight": part["weight"].to_numpy(), "x": [p.tobytes() for p in parts]})
+                owner, bucket, value = densities(part["text"].tolist(), wanted)
+                cuts = np.searchsorted(owner, np.arange(1, len(part)))
+                xs, vs = np.split(bucket.astype(np.int32), cuts), np.split(value.astype(np.float32), cuts)
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "label": part["label"].to_numpy(), "weight": part["weight"].to_numpy(), "x": [p.tobytes() for p in xs], "v": [p.tobytes() for p in vs]})
 
-    found = chosen.mapInPandas(select, "key long, label int, weight double, x binary").toPandas().sort_values(["key", "label"])
+    found = chosen.mapInPandas(select, "key long, label int, weight double, x binary, v binary").toPandas().sort_values(["key", "label"])
     y = found["label"].to_numpy(float)
     weights = np.zeros(size)
     if len(np.unique(y)) < 2:
@@ -132,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     owner = np.repeat(np.arange(len(x)), [len(b) for b in x])
     kept = np.flatnonzero(wanted)
     column = np.searchsorted(kept, np.concatenate(x))
-    w, b = regress(owner, column, ratio[kept][column], y, found["weight"].to_numpy(), len(kept))
+    value = ratio[kept][column] * np.frombuffer(b"".join(found["v"]), dtype=np.float32)
+    w, b = regress(owner, column, value, y, found["weight"].to_numpy(), len(kept))
     weights[kept] = ratio[kept] * w
     return Model(weights.astype(np.float32), b)
 

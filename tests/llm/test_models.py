@@ -421,6 +421,22 @@ def test_grams_are_the_character_grams():
     assert set(bucket[owner == 3].tolist()) < set(bucket[owner == 0].tolist()) | of("ab")
 
 
+def test_densities_against_plain_counts():
+    """Occurrences by length, of wanted grams alone; an empty text has none."""
+    texts = ["abab ab", "", "xyz " * 40 + "ab"]
+    wanted = np.zeros(1 << toxicity.BITS, dtype=bool)
+    gram = " ab"
+    at = toxicity.grams(["ab"])[1][0]  # the first three characters of ' ab '
+    wanted[at] = True
+    owner, bucket, value = toxicity.densities(texts, wanted)
+    assert owner.tolist() == [0, 2] and set(bucket.tolist()) == {at}
+    for i, got in zip(owner, value, strict=True):
+        folded = " " + " ".join(texts[i].lower().split()) + " "
+        n = sum(folded[k:k + 3] == gram for k in range(len(folded)))
+        length = sum(len(folded) - order + 1 for order in toxicity.ORDERS) / len(toxicity.ORDERS)
+        assert got == pytest.approx(np.log1p(toxicity.PER * n / (length + toxicity.LENGTH_PRIOR)))
+
+
 def test_log_count_ratios_by_hand():
     counts = np.zeros((2, 8))
     counts[:, 0], counts[:, 1], counts[:, 2] = (2, 20), (20, 2), (3, 3)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, table
+from .common import likely, own_columns, table
 
 #: A line goes if it stands on more than this share of its host's pages,
 RATIO = 0.2
@@ -40,18 +40,20 @@ def line_dedup(pages: DataFrame, host: Column, lines: Column, id_col: str, ratio
 
     A line counts once a page. Digests of lines are counted by (host, digest) with partial aggregates, so a line or a host that a
     third of all pages share is one row per task before the shuffle; the joins that carry rows have one row per key on
-    the other side, so that adaptive execution can split hot keys. Pages' text moves once, by a row number.
+    the other side, so that adaptive execution can split hot keys. Of the pages' lines only those that may be boilerplate are
+    shuffled, as places in their page, so the work is linear in a page's lines. Pages' text moves once, by a row number.
     """
     made = pages.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(host, F.lit("")).alias("host"), lines.alias("lines"))
     rows = table(made.withColumn("row", F.monotonically_increasing_id()), "lines")  # row is settled once written
-    digests = F.array_distinct(F.transform("lines", lambda x: F.unhex(F.md5(x))))
-    each = rows.select("row", "host", F.explode(digests).alias("digest"))
+    digests = F.transform("lines", lambda x: F.md5(x))
+    once = rows.select("host", F.explode(F.array_distinct(digests)).alias("digest")).select("host", F.unhex("digest").alias("digest"))
     totals = rows.groupBy("host").agg(F.count("*").alias("total"))
-    counts = each.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= max(1, least_pages))
-    boilerplate = counts.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "digest")
-    dropped = each.join(boilerplate, ["host", "digest"]).groupBy("row").agg(F.collect_set("digest").alias("drop"))
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x: ~F.array_contains("drop", F.unhex(F.md5(x)))))
+    counts = once.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= max(1, least_pages))
+    boilerplate = table(counts.join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "digest"), "boilerplate", small=True)
+    each = rows.select("row", "host", F.posexplode(digests).alias("at", "digest")).withColumn("digest", F.unhex("digest"))
+    dropped = likely(each, boilerplate, ["host", "digest"]).join(boilerplate, ["host", "digest"]).groupBy("row").agg(F.collect_list("at").alias("drop"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.transform(stay, lambda i: F.get("lines", i)))
     return (
         rows.join(dropped, "row", "left").withColumn("kept", kept)
         .select("id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))

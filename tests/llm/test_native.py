@@ -142,10 +142,11 @@ def test_mixed_takes_null_and_repeated_ids(hostile):
 
 def test_line_dedup(spark):
     html = lambda nav, body: f"<html><script>x<p></script><body><nav>{nav}</nav><p>{body}</p><!-- <p>no</p> --></body></html>"
-    rows = [(i, "http://A.com/x", html("Home | About", f"body {i}"), "c") for i in range(6)] + [(10, "https://u@b.org:80/", html("Home | About", "alone"), "c"), (11, None, None, None), (11, None, None, None), (12, "nonsense", "", "c"), (13, "http://a.com", "plain\nHome  |  About", "c")]
+    rows = [(i, "http://A.com/x", html("Home | About", f"body {i}"), "c") for i in range(6)] + [(10, "https://u@b.org:80/", html("Home | About", "alone"), "c"), (11, None, None, None), (11, None, None, None), (12, "nonsense", "", "c"), (13, "http://a.com", "plain\nHome  |  About", "c"), (14, "http://a.com", "own\nHome | About\nown\nHome | About", "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, lines string")
     out = {r.page_id: r for r in line_dedup.line_dedup(pages, line_dedup.host_of(F.col("url")), line_dedup.lines_of(F.col("html")), "page_id").withColumnRenamed("id", "page_id").collect()}
     assert out[0].text == "body 0" and out[0].n_dropped == 1 and out[0].host == "a.com" and out[13].text == "plain"
+    assert out[14].text == "own\nown" and out[14].n_lines == 4 and out[14].n_dropped == 2  # each stands for itself in its page
     assert out[10].text == "Home | About\nalone" and out[10].host == "b.org" and out[11].text == "" and out[12].n_lines == 0
     assert line_dedup.line_dedup(pages.limit(0), line_dedup.host_of(F.col("url")), line_dedup.lines_of(F.col("html")), "page_id").count() == 0
 

@@ -222,6 +222,29 @@ def route(df: DataFrame, properties: Iterable[str], versions: Iterable[str], as_
     return df.withColumn("reasons", reasons(checks)).withColumn("zone", F.when(F.size("reasons") > 0, "quarantine").otherwise("clean"))
 
 
+def topic_checks(known_topic: str = "known_topic", known_version: str = "known_version") -> list[tuple[str, Column]]:
+    """All-failures checks of a broker's message (event_id, property_code, schema_version, payload as JSON text) joined to its topic's catalog row.
+
+    Without a catalog row the topic is unknown; then, or where the row names no version, any version will do.
+    """
+    missing = lambda name: F.col(name).isNull() | (F.col(name) == "")
+    return [
+        ("UNKNOWN_TOPIC", F.col(known_topic).isNull()),
+        ("EVENT_ID_REQUIRED", missing("event_id")),
+        ("PROPERTY_REQUIRED", missing("property_code")),
+        ("SCHEMA_VERSION_UNSUPPORTED", F.col(known_version).isNotNull() & ~F.col("schema_version").eqNullSafe(F.col(known_version))),
+        ("PAYLOAD_NOT_OBJECT", F.json_object_keys("payload").isNull()),
+    ]
+
+
+def gateway_status(event_type: Column, idempotency_key: Column, event_id: Column, valid: Column, types: Iterable[str]) -> Column:
+    """What a gateway answers to a posted event: 404 for a type it does not know, 422 for a body against its contract, 409 where a key is
+    given that is not the event's id, else 200. Only what gets 200 may land."""
+    known = F.coalesce(F.upper(event_type).isin(*[t.upper() for t in types]), F.lit(False))
+    other = F.coalesce(idempotency_key != "", F.lit(False)) & ~idempotency_key.eqNullSafe(event_id)
+    return F.when(~known, 404).when(~F.coalesce(valid, F.lit(False)), 422).when(other, 409).otherwise(200)
+
+
 #: Fixed value: the form of a UUID.
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 

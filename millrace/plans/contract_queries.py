@@ -38,6 +38,24 @@ def extract_rewards(spark, sf):
     return readers.bounded_extract(read(spark, sf, "events"), spec, 10, 4000)
 
 
+@query("extract_payment", """SELECT 'P' || CAST(o_custkey % 4 AS VARCHAR) AS property_code, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS business_ts, CASE WHEN o_orderkey % 9 = 0 THEN 'REFUND' ELSE 'CHARGE' END AS payment_type,
+  CAST(CAST(o_totalprice AS DECIMAL(19,2)) AS DOUBLE) AS amount, 'USD' AS currency, o_orderstatus AS status, CAST(o_orderkey AS VARCHAR) AS source_business_key, o_orderkey AS source_watermark FROM orders WHERE o_orderkey > 100 AND o_orderkey <= 5000""")
+def extract_payment(spark, sf):
+    columns = {"property_code": "'P' || CAST(o_custkey % 4 AS STRING)", "business_ts": "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')", "payment_type": "IF(o_orderkey % 9 = 0, 'REFUND', 'CHARGE')",
+               "amount": "CAST(CAST(o_totalprice AS DECIMAL(19,2)) AS DOUBLE)", "currency": "'USD'", "status": "o_orderstatus"}
+    return readers.bounded_extract(read(spark, sf, "orders"), readers.ExtractSpec(columns, "o_orderkey", key="o_orderkey"), 100, 5000)
+
+
+@query("extract_work_order", """SELECT 'P' || CAST(user_id % 4 AS VARCHAR) AS property_code, 'Z' || CAST(user_id % 7 AS VARCHAR) AS zone_code, strftime(ts, '%Y-%m-%d %H:%M:%S') AS open_ts,
+  CASE WHEN event_id % 5 <> 0 THEN strftime(ts + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') END AS close_ts, CASE WHEN event_id % 3 = 0 THEN 'CRITICAL' ELSE 'NORMAL' END AS priority,
+  CASE WHEN event_id % 5 <> 0 THEN 'CLOSED' ELSE 'OPEN' END AS status, event_type AS category, CAST(event_id AS VARCHAR) AS source_business_key, event_id AS source_watermark FROM events WHERE event_id > 10 AND event_id <= 4000""")
+def extract_work_order(spark, sf):
+    columns = {"property_code": "'P' || CAST(user_id % 4 AS STRING)", "zone_code": "'Z' || CAST(user_id % 7 AS STRING)", "open_ts": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')",
+               "close_ts": "IF(event_id % 5 <> 0, date_format(ts + INTERVAL 30 MINUTES, 'yyyy-MM-dd HH:mm:ss'), NULL)", "priority": "IF(event_id % 3 = 0, 'CRITICAL', 'NORMAL')",
+               "status": "IF(event_id % 5 <> 0, 'CLOSED', 'OPEN')", "category": "event_type"}
+    return readers.bounded_extract(read(spark, sf, "events"), readers.ExtractSpec(columns, "event_id", key="event_id"), 10, 4000)
+
+
 @query("high_watermark", "SELECT 'orders' AS source, coalesce(max(o_orderkey), 0) AS high_watermark FROM orders UNION ALL SELECT 'events', coalesce(max(event_id), 0) FROM events UNION ALL SELECT 'none', 0")
 def high_watermark(spark, sf):
     orders, events = read(spark, sf, "orders"), read(spark, sf, "events")
@@ -167,6 +185,31 @@ def topic_validate(spark, sf):
     return out.select("n", "known_topic", S.dead_letter_topic(F.col("known_topic")).alias("dlq"), status.alias("status"))
 
 
+@query("topic_reasons", """SELECT event_id AS n, coalesce(array_to_string(list_sort(list_filter([CASE WHEN event_type NOT IN ('click', 'view') THEN 'UNKNOWN_TOPIC' END, CASE WHEN event_id % 97 = 0 OR event_id % 89 = 0 THEN 'EVENT_ID_REQUIRED' END,
+  CASE WHEN event_id % 19 = 0 THEN 'PROPERTY_REQUIRED' END, CASE WHEN event_type = 'click' AND (event_id % 17 = 0 OR event_id % 7 = 0) THEN 'SCHEMA_VERSION_UNSUPPORTED' END,
+  CASE WHEN event_id % 31 = 0 OR event_id % 37 = 0 OR event_id % 41 = 0 THEN 'PAYLOAD_NOT_OBJECT' END], lambda x: x IS NOT NULL)), ','), '') AS reasons FROM events""")
+def topic_reasons(spark, sf):
+    """The version of views is open; messages have defects by event id."""
+    i = F.col("event_id")
+    every = lambda n: i % n == 0
+    catalog = spark.createDataFrame([("guest.click.v1", "1"), ("guest.view.v1", None)], "known_topic string, known_version string")
+    e = read(spark, sf, "events").select(
+        i.alias("n"), F.concat(F.lit("guest."), "event_type", F.lit(".v1")).alias("topic"), F.when(every(89), "").when(~every(97), i.cast("string")).alias("event_id"),
+        F.when(~every(19), F.lit("P1")).alias("property_code"), F.when(every(17), "9").when(~every(7), "1").alias("schema_version"),
+        F.when(every(31), "[1]").when(every(37), '{"a": ').when(~every(41), '{"a": 1}').alias("payload"))
+    out = e.join(catalog, F.col("topic") == F.col("known_topic"), "left")
+    return out.select("n", F.concat_ws(",", C.reasons(C.topic_checks())).alias("reasons"))
+
+
+@query("gateway_status", """SELECT event_id AS n, CASE WHEN NOT coalesce(event_type IN ('click', 'view', 'purchase'), false) THEN 404 WHEN event_id % 23 = 0 THEN 422 WHEN event_id % 11 = 0 THEN 409 ELSE 200 END AS status FROM events""")
+def gateway_status(spark, sf):
+    """Keys that are absent or empty are no conflict."""
+    i = F.col("event_id")
+    key = F.when(i % 11 == 0, "other").when(i % 7 == 0, "").when(i % 3 != 0, i.cast("string"))
+    valid = F.when(i % 46 == 0, F.lit(None)).otherwise(i % 23 != 0)
+    return read(spark, sf, "events").select(i.alias("n"), C.gateway_status(F.col("event_type"), key, i.cast("string"), valid, ("CLICK", "VIEW", "PURCHASE")).alias("status"))
+
+
 @query("derived_split", f"""WITH {RES} SELECT property_code, CASE WHEN reservation_id % 7 <> 0 AND revenue >= 1000 THEN 'land' ELSE 'reject' END AS route, count(*) AS n_rows FROM res GROUP BY 1, 2""")
 def derived_split(spark, sf):
     r = reservations(spark, sf).withColumn("property_code", S.code(F.concat(F.lit("  "), F.lower("property_code"), F.lit(" "))))

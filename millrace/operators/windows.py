@@ -21,6 +21,38 @@ def hopping(df: DataFrame, ts: str, width: str, hop: str, keys: list[str], measu
     return _windowed(df, F.window(ts, width, hop), keys, measures)
 
 
+def hopping_totals(df: DataFrame, ts: str, width: int, hop: int, keys: list[str], distinct: str, sums: dict[str, Column]) -> DataFrame:
+    """Hopping windows of whole seconds with event_count, distinct_count (of one column) and exact sums, where rows by window would be many.
+
+    Rows are shuffled once, as they are, to blocks of 48 widths; only those in the first width of a block go to the block before as well.
+    There a row is two changes: it enters at the first window that holds it and leaves after the last. A value enters or leaves with its
+    row unless its next row is less than a width away. Totals run over the changes, and a stretch without changes is expanded to its
+    windows last, so neither memory nor disk holds the rows times width / hop. The sums are worked out after the shuffle.
+    """
+    if width % hop:
+        raise ValueError("the width has to be a multiple of the hop")
+    n, step = width // hop, hop * 1_000_000
+    long = 48 * n
+    whole = lambda c, d: F.expr(f"({c} - pmod({c}, {d}L)) div {d}L")
+    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).where("_us is not null").withColumn("_pane", whole("_us", step))
+    rows = rows.withColumn("_first", F.col("_pane") - (n - 1)).withColumn("_block", F.explode(F.sequence(whole("_first", long), whole("_pane", long))))
+    rows = rows.drop(ts, "_us", "_first").repartition(*keys, "_block")
+    order = W.partitionBy(*keys, "_block", distinct).orderBy("_pane")
+    near = lambda other: F.col(distinct).isNull() | F.coalesce(F.abs(other - F.col("_pane")) < n, F.lit(False))
+    rows = rows.withColumn("_in", F.when(near(F.lag("_pane").over(order)), 0).otherwise(1)).withColumn("_out", F.when(near(F.lead("_pane").over(order)), 0).otherwise(-1))
+    rows = rows.select(*keys, "_block", *[c.alias(name) for name, c in sums.items()], F.inline(F.array(
+        F.struct((F.col("_pane") - (n - 1)).alias("_w"), F.lit(1).alias("_sign"), F.col("_in").alias("_value")),
+        F.struct((F.col("_pane") + 1).alias("_w"), F.lit(-1).alias("_sign"), F.col("_out").alias("_value")))))
+    to = W.partitionBy(*keys, "_block").orderBy("_w")  # with its peers: the last of these has the total
+    total = lambda c: F.sum(F.when(F.col("_sign") > 0, c).otherwise(-c)).over(to)
+    sum_ = lambda c: F.when(F.sum(F.when(F.col(c).isNotNull(), F.col("_sign"))).over(to) > 0, total(F.col(c)))  # noqa: E731  # null where all are
+    out = rows.select(*keys, F.greatest("_w", F.col("_block") * long).alias("_from"), (F.least(F.lead("_w").over(to), (F.col("_block") + 1) * long) - 1).alias("_to"),
+                      F.sum("_sign").over(to).alias("event_count"), F.sum("_value").over(to).alias("distinct_count"), *[sum_(c).alias(c) for c in sums])
+    out = out.where("event_count > 0 and _from <= _to").withColumn("_w", F.explode(F.sequence("_from", "_to")))
+    at = lambda w: F.timestamp_micros(w * step)
+    return out.select(*keys, at(F.col("_w")).alias("window_start"), at(F.col("_w") + n).alias("window_end"), "event_count", "distinct_count", *sums)
+
+
 def _windowed(df: DataFrame, window: Column, keys: list[str], measures: dict[str, Column]) -> DataFrame:
     out = df.groupBy(*keys, window.alias("w")).agg(*[m.alias(n) for n, m in measures.items()])
     return out.select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *measures)

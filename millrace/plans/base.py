@@ -64,17 +64,27 @@ RES = """res AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-def gaming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as plays of a session (the order) on a device (the supplier, in its nation)."""
+def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as plays of a session (the order) on a device (the supplier, in its nation); rates as they stand, not yet times the coin."""
     l, s, n = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
-    coin = F.col("l_extendedprice").cast("decimal(18,2)")
     at = F.expr("l_shipdate + make_dt_interval(0, 0, 0, (l_orderkey * 37 + l_linenumber * 61) % 86400)")
     return l.join(s, l.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).select(
         F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("device"), F.upper(F.trim("n_name")).alias("property_code"), at.alias("event_ts"),
-        coin.alias("coin_in"), (coin * F.col("l_discount").cast("decimal(4,2)")).alias("payout"), (coin * F.col("l_tax").cast("decimal(4,2)")).alias("jackpot"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("coin_in"), F.col("l_discount").cast("decimal(4,2)").alias("payout_rate"), F.col("l_tax").cast("decimal(4,2)").alias("jackpot_rate"),
         F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("game"))
 
 
+def amounts() -> tuple[Column, Column]:
+    """Payout and jackpot of a play: its rates times the coin."""
+    return F.col("coin_in") * F.col("payout_rate"), F.col("coin_in") * F.col("jackpot_rate")
+
+
+def gaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plays with their amounts."""
+    payout, jackpot = amounts()
+    return plays(spark, sf_dir).select("session_id", "device", "property_code", "event_ts", "coin_in", payout.alias("payout"), jackpot.alias("jackpot"), "line", "game")
+
+
 GAME = """game AS (
   SELECT l_orderkey AS session_id, l_suppkey AS device, upper(trim(n_name)) AS property_code, l_shipdate + to_seconds((l_orderkey * 37 + l_linenumber * 61) % 86400) AS event_ts,
     CAST(l_extendedprice AS DECIMAL(18,2)) AS coin_in, CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS payout,

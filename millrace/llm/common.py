@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -177,12 +178,33 @@ def running_total(df: DataFrame, group: list[str], key: str, order: list[str], v
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined(edges: DataFrame) -> DataFrame:
+    """components of few edges (hi, lo): one task joins them up in memory, as the rounds of jobs below cost the driver more than the edges are."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["hi"].tolist(), batch["lo"].tolist(), strict=True):
+                a, b = root(a), root(b)
+                above[max(a, b)] = min(a, b)
+        yield pd.DataFrame({"id": list(above), "root": [root(x) for x in above]}, dtype="int64")
+
+    return table(edges.coalesce(1).mapInPandas(join, "id long, root long"), "roots")
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(id, root): root is the smallest id that the undirected edges (a, b), longs, of a written table lead to from id. Ids in no edge with another are not returned.
 
     Alternating large-star and small-star steps: the number of edges does not grow, and about log(vertices) steps
     suffice. A hub's neighbours need not meet in one task: its minimum is a partial aggregate, and the edges get it by a join
     that adaptive execution can split. Each step is written to the shared folder, so that its loss costs that step alone.
+    Up to few edges are joined up by one task instead.
     """
     spark = edges.sparkSession
 
@@ -195,7 +217,10 @@ def components(edges: DataFrame) -> DataFrame:
         return table(df.distinct().coalesce(1 + rows // FEW), "edges")
 
     current = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo")
-    current = step(current, current.count())
+    rows = current.count()
+    if rows <= few:
+        return _joined(current)
+    current = step(current, rows)
     before = mark(current)
     while True:
         up, down = current.select(F.col("lo").alias("u"), F.col("hi").alias("v")), current.select(F.col("hi").alias("u"), F.col("lo").alias("v"))

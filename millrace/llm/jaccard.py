@@ -34,6 +34,8 @@ UNIT = 200_000
 #: Signatures are kept in slices by their value and matched in rounds of some slices each: so many that a round's shuffles take
 #: about half as much as the texts at most, with so many bytes a signature.
 SLICES, SIGN_BYTES = 16, 48
+#: Texts count as so many bytes at least: what a round of a small table shuffles is little, and each round costs the driver a dozen jobs.
+LEAST_BYTES = 64 << 20
 #: Texts at a time.
 BATCH = 400
 
@@ -262,7 +264,7 @@ def _groups(source: DataFrame, words: int, percent: int, unit: int, parts: int,
     classes = table(signed.where("n > 0").groupBy(*sets).agg(F.min("node").alias("node"), F.min(row).alias("first")), "classes", small=True)
     reps = classes.select("node")
     total = signed.agg(F.sum("many"), F.sum("bytes")).first()
-    rounds = min(SLICES, max(1, -(-2 * SIGN_BYTES * (total[0] or 0) // max(1, total[1] or 1))))
+    rounds = min(SLICES, max(1, -(-2 * SIGN_BYTES * (total[0] or 0) // max(LEAST_BYTES, total[1] or 0))))
     found = []
 
     def slice_of(k: int) -> DataFrame:

@@ -89,6 +89,24 @@ def test_components_of_large_ids(spark):
     assert got == {i: want[i] for a, b in edges if a != b for i in (a, b)}
 
 
+def test_components_are_the_same_in_one_task_and_in_steps(spark, tmp_path):
+    r = random.Random(4)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(30)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {tuple(x) for x in components(df).collect()} == {tuple(x) for x in components(df, few=0).collect()}
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """A chain takes the alternating steps many rounds of jobs, each of which the driver plans and compiles."""
+    df = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        components(df)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def water_level(totals, weights, epochs):
     """Sharing by weight, capping and resharing, as stated."""
     names = sorted(totals, key=lambda s: (s is None, s or ""))

@@ -20,10 +20,10 @@ from .common import bounded_batches, crc_mod, own_columns, trim
 TRAIN_ROWS, TRAIN_TEXT_CHARS, TRAIN_CHARS = 60, 20_000, 80_000
 #: Texts are parsed whole. Their segments of so many letters are parsed side by side, then joined where the parse of one runs into the next.
 SEGMENT = 256
-#: Letters of a language, the commonest first, whose transitions stand in a table of all states; those of further letters are searched for.
+#: A state with more transitions is given few draws for its row, as it hardly fits among others.
 DENSE = 48
-#: Texts at a time.
-BATCH = 600
+#: Texts at a time, and their characters together, but for one text that alone has more.
+BATCH, BATCH_CHARS = 600, 1 << 20
 UNDEFINED = "und"
 
 
@@ -57,11 +57,50 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
+def packed_rows(states: np.ndarray, letters: np.ndarray, count: int) -> tuple[np.ndarray, int]:
+    """(where, cells): where of each state so that the cells where[state] + letter of all its edges are its own, and no two states have the same where.
+
+    states is in rising order. Rows go by length, the longest first, to places drawn at random with a fixed seed; what finds no room in some draws
+    is laid behind all others. A state without edges is at cells, behind which no cell is taken.
+    """
+    draw = np.random.default_rng(0)
+    width = int(letters.max(initial=0)) + 1
+    size = np.bincount(states, minlength=count)
+    begin = np.cumsum(size) - size
+    cells = len(states) * 3 // 2 + width
+    used, taken, claim, place = np.zeros(cells + width, bool), np.zeros(cells, bool), np.zeros(cells + width, np.int32), np.zeros(cells, np.int32)
+    where = np.zeros(count, dtype=np.int64)
+    for k in np.unique(size[size > 0])[::-1]:
+        open_ = np.flatnonzero(size == k)
+        for _ in range(64 if k <= DENSE else 8):
+            at = draw.integers(0, cells, len(open_))
+            row = letters[begin[open_][:, None] + np.arange(k)] + at[:, None]
+            free = np.flatnonzero(~taken[at] & ~used[row].any(axis=1))
+            at, row = at[free], row[free]
+            claim[row], place[at] = free[:, None], free  # of rows that clash the last has the cell
+            won = (claim[row] == free[:, None]).all(axis=1) & (place[at] == free)
+            used[row[won]] = taken[at[won]] = True
+            where[open_[free[won]]] = at[won]
+            open_ = np.delete(open_, free[won])
+            if not len(open_):
+                break
+        if len(open_):
+            where[open_] = cells + width * np.arange(1, len(open_) + 1)
+            grown = width * (len(open_) + 1)
+            used, taken, claim, place = (np.concatenate([x, np.zeros(grown, x.dtype)]) for x in (used, taken, claim, place))
+            used[letters[begin[open_][:, None] + np.arange(k)] + where[open_][:, None]] = taken[where[open_]] = True
+            cells += grown
+    # behind the last row
+    end = cells + width
+    where[size == 0] = end
+    return where, end
+
+
 class Automaton:
     """Transitions of one language over letters of its own: 0 is what no letter is, 1 a letter it has not learned, others go by frequency.
 
-    A place in a parse is a state times the table's width, doubled; the low bit says that the letter that led there began a phrase.
-    What is handed to tasks is the edges, in proportion to the learned text; the table is made of them there.
+    The rows of all states lie in one another's gaps: a state is known by where its row begins, and a cell of the row is its own if its owner says so.
+    So memory goes by the edges, whatever the letters. A place in a parse is a state, doubled; the low bit says that the letter that led there began a phrase.
     """
 
     def __init__(self, codes: np.ndarray, letters: int):
@@ -73,45 +112,24 @@ class Automaton:
         self.size = max(2, len(codes))
         step = suffix_automaton(self.own[codes].tolist())
         self.states = len(step)
-        edges = np.array([(p, c, q) for p, ways in enumerate(step) for c, q in sorted(ways.items())], dtype=np.int32).reshape(-1, 3)
-        self.edges = edges
-        self._compile()
-
-    def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("own", "size", "states", "edges")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._compile()
-
-    def _compile(self) -> None:
-        letters = int(self.own.max(initial=1)) + 1
-        self.width = w = min(letters, DENSE)
-        kind = np.int32 if (self.states + 1) * w * 2 < 1 << 31 else np.int64
-        p, c, q = self.edges.T
-        # one more state in which any letter begins a phrase: the start, and where a letter that is not learned has been a phrase
-        self.start = kind(self.states * w * 2)
-        self.first = np.full(letters, self.start + 1, dtype=kind)
-        root = p == 0
-        self.first[c[root]] = q[root].astype(kind) * w * 2 + 1
-        table = np.tile(self.first[:w], (self.states + 1, 1))
-        near = c < w
-        table[p[near], c[near]] = q[near].astype(kind) * w * 2
-        self.table = table.ravel()
-        self.far_keys = p[~near].astype(np.int64) * letters + c[~near]  # in rising order, as edges are
-        self.far_next = q[~near].astype(kind) * w * 2
-        self.letters = letters
+        p, c, q = np.array([(p, c, q) for p, ways in enumerate(step) for c, q in ways.items()], dtype=np.int64).reshape(-1, 3).T
+        root = p == 0  # no edge leads there: a parse is at the start, or where a phrase's last letter has led
+        where, end = packed_rows(p[~root], c[~root], self.states)
+        width = len(order) + 2
+        kind = np.int32 if (end + width) * 2 < 1 << 31 else np.int64
+        # the state in which any letter begins a phrase: the start, and where a letter that is not learned has been a phrase
+        self.start = kind(end * 2)
+        self.first = np.full(width, self.start + 1, dtype=kind)
+        self.first[c[root]] = where[q[root]] * 2 + 1
+        self.owner, self.next = np.full(end + width, -1, dtype=kind), np.zeros(end + width, dtype=kind)
+        cell = where[p[~root]] + c[~root]
+        self.owner[cell], self.next[cell] = where[p[~root]], where[q[~root]] * 2
 
     def step(self, at: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """Places after one letter more, of this language's alphabet."""
-        if self.letters == self.width or not (far := letter >= self.width).any():
-            return self.table.take((at >> 1) + letter)
-        out = self.table.take((at >> 1) + np.where(far, 1, letter))
-        some, state = letter[far], at[far] // (2 * self.width)
-        key = state.astype(np.int64) * self.letters + some
-        place = np.minimum(np.searchsorted(self.far_keys, key), len(self.far_keys) - 1)
-        out[far] = np.where(self.far_keys[place] == key, self.far_next[place], self.first[some])
-        return out
+        state = at >> 1
+        cell = state + letter
+        return np.where(self.owner.take(cell) == state, self.next.take(cell), self.first.take(letter))
 
 
 class CrossParser:
@@ -148,6 +166,7 @@ class CrossParser:
         if not len(owner):
             return letters, counts
         flat = np.concatenate(coded)
+        del coded
         number = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         begin = np.repeat(np.cumsum(sizes) - sizes, lanes) + number * SEGMENT
         width = np.minimum(SEGMENT, sizes[owner] - number * SEGMENT)
@@ -234,6 +253,19 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return CrossParser({lang: " ".join(texts) for lang, texts in taken.items()})
 
 
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in their order, at most BATCH at a time and BATCH_CHARS together; a longer one by itself."""
+    part, chars = [], 0
+    for text in texts:
+        if part and (len(part) == BATCH or chars + len(text) > BATCH_CHARS):
+            yield part
+            part, chars = [], 0
+        part.append(text)
+        chars += len(text)
+    if part:
+        yield part
+
+
 def judged(docs: DataFrame, parser: CrossParser, text_col: str = "text") -> DataFrame:
     """docs with a further column judged (lang_pred, score); the parser goes to each executor once, a bounded model."""
     bounded_batches(docs.sparkSession)
@@ -242,7 +274,7 @@ def judged(docs: DataFrame, parser: CrossParser, text_col: str = "text") -> Data
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            parts = [model.value.judge(texts.iloc[at:at + BATCH].tolist()) for at in range(0, len(texts), BATCH)]
+            parts = [model.value.judge(part) for part in portions(texts.tolist())]
             yield pd.DataFrame({"lang_pred": [x for lang, _ in parts for x in lang], "score": [x for _, score in parts for x in score]})
         trim()
 

@@ -306,6 +306,40 @@ def test_parsers_of_many_letters_stay_small():
     assert pickle.loads(sent).judge([texts["l3"][500:900], texts["l7"][-50:]])[0] == ["l3", "l7"]
 
 
+def test_parsers_take_memory_by_their_edges():
+    """A worker holds four full languages in 24 MB (a table of all states by letters took 60 and more) and the letters of a bounded portion of texts."""
+    import pickle
+    import tracemalloc
+
+    r = random.Random(5)
+    alphabet = [chr(97 + k) for k in range(26)] + ["\u00e4", "\u00e9", "\u00f1", "\u00f8", "\u00fc", "\u00df"] + [" "] * 6
+    sent = pickle.dumps(language.CrossParser({f"l{k}": "".join(r.choices(alphabet, [r.random() ** 3 for _ in alphabet], k=78_000)) for k in range(4)}))
+    tracemalloc.start()
+    parser = pickle.loads(sent)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(parser.languages) == 4 and held < 24 << 20
+    texts = ["a" * n for n in (5, 0, language.BATCH_CHARS + 7, 3, language.BATCH_CHARS - 2, 2)] + ["b"] * 1_500
+    parts = list(language.portions(texts))
+    assert [t for part in parts for t in part] == texts
+    assert all(len(part) == 1 or len(part) <= language.BATCH and sum(map(len, part)) <= language.BATCH_CHARS for part in parts) and len(parts) <= 8
+
+
+@pytest.mark.parametrize("dense", [2, 48])
+def test_packed_rows_keep_all_states_apart(monkeypatch, dense):
+    """Each cell of a row is its state's alone, no two states begin at the same place, and none without edges meets a cell."""
+    monkeypatch.setattr(language, "DENSE", dense)
+    r = random.Random(6)
+    rows = {p: sorted(r.sample(range(300), r.choice([0, 1, 1, 1, 2, 3, 40, 290]))) for p in range(700)}
+    states, letters = np.array([(p, c) for p, row in rows.items() for c in row]).T
+    where, end = language.packed_rows(states, letters, 700)
+    cells = where[states] + letters
+    assert len(set(cells.tolist())) == len(cells) and cells.max() < end
+    with_edges = [p for p, row in rows.items() if row]
+    assert len(set(where[with_edges].tolist())) == len(with_edges)
+    assert all(where[p] == end for p, row in rows.items() if not row)
+
+
 def test_sample_takes_rows_whole(spark):
     """By hash among the rows that fit; a language with longer ones alone is learned from its shortest."""
     rows = [(i, "kurz " * (i % 7 + 1), "a") for i in range(500)] + [(1000 + i, "lang" * (6_000 + i), "b") for i in range(20)]
